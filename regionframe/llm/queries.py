@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from .chat_preferences import adjacent_pairs, format_preferences
 from .common import table
 from .decontaminate import contamination
+from .langid import language_of
+from .minhash_dedup import near_duplicates
 from .pareto_mix import pareto_mix
 from .pii_surrogates import replace_entities
 
@@ -16,6 +18,10 @@ def op1_chat_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return format_preferences(table(spark, sf_dir, "conversations"), *adjacent_pairs())
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_of(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+
+
 def op4_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return replace_entities(table(spark, sf_dir, "documents"), count_col="n_entities").select("doc_id", "text", "n_entities")
 
@@ -24,9 +30,13 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
 
 
+def op8_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op10_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pareto_mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_preferences, op4_pii_surrogates, op5_decontaminate, op10_pareto_mix)}
+QUERIES = {f.__name__: f for f in (op1_chat_preferences, op3_language_id, op4_pii_surrogates, op5_decontaminate, op8_minhash_dedup, op10_pareto_mix)}
 ORACLES: dict[str, str] = {}
