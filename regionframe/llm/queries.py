@@ -12,6 +12,7 @@ from .langid import language_of
 from .minhash_dedup import near_duplicates
 from .pareto_mix import pareto_mix
 from .pii_surrogates import replace_entities
+from .suffix_dedup import removed_repeats
 
 
 def op1_chat_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,9 +35,13 @@ def op8_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return removed_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op10_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pareto_mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_preferences, op3_language_id, op4_pii_surrogates, op5_decontaminate, op8_minhash_dedup, op10_pareto_mix)}
+QUERIES = {f.__name__: f for f in (op1_chat_preferences, op3_language_id, op4_pii_surrogates, op5_decontaminate, op8_minhash_dedup, op9_suffix_dedup, op10_pareto_mix)}
 ORACLES: dict[str, str] = {}
