@@ -8,8 +8,11 @@ from pyspark.sql import functions as F
 from .chat_preferences import adjacent_pairs, format_preferences
 from .common import table
 from .decontaminate import contamination
+from .hnsw import nearest
 from .langid import language_of
+from .masked_lm import pseudo_likelihood
 from .minhash_dedup import near_duplicates
+from .page_text import main_text
 from .pareto_mix import pareto_mix
 from .pii_surrogates import replace_entities
 from .suffix_dedup import removed_repeats
@@ -19,6 +22,10 @@ def op1_chat_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return format_preferences(table(spark, sf_dir, "conversations"), *adjacent_pairs())
 
 
+def op2_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(table(spark, sf_dir, "pages"))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_of(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
 
@@ -31,6 +38,14 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"))
+
+
+def op7_masked_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudo_likelihood(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op8_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -43,5 +58,5 @@ def op10_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pareto_mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_preferences, op3_language_id, op4_pii_surrogates, op5_decontaminate, op8_minhash_dedup, op9_suffix_dedup, op10_pareto_mix)}
+QUERIES = {f.__name__: f for f in (op1_chat_preferences, op2_page_text, op3_language_id, op4_pii_surrogates, op5_decontaminate, op6_hnsw, op7_masked_lm, op8_minhash_dedup, op9_suffix_dedup, op10_pareto_mix)}
 ORACLES: dict[str, str] = {}
