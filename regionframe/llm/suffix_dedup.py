@@ -78,7 +78,7 @@ def _ranges(buf: np.ndarray, group: np.ndarray | None = None) -> tuple[np.ndarra
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, gram, context, doc, pos, starts, settled) of all ranges."""
+    """(gram, context, doc, place) of all ranges; place is start, number of starts (7 bits) and whether the range is settled."""
     for batch in batches:
         docs, texts = batch.column(0).to_pylist(), batch.column(1)
         found: list[tuple[np.ndarray, ...]] = []
@@ -117,8 +117,9 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = np.lexsort((pos, doc, context, gram))
         gram, context, doc, pos, starts = (x[order] for x in (gram, context, doc, pos, starts))
         again = np.concatenate([[False], (gram[1:] == gram[:-1]) & (context[1:] == context[:-1])])
-        key = np.where(again, mix(doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + pos.astype(np.uint64)), gram).view(np.int64)
-        yield _batch(key=key, gram=gram.view(np.int64), context=context.view(np.int64), doc=doc, pos=pos, starts=starts.astype(np.int32), settled=again)
+        # Settled ranges need no meeting: they have no hashes, and place, number of starts and state are one word.
+        gram[again] = context[again] = 0
+        yield _batch(gram=gram.view(np.int64), context=context.view(np.int64), doc=doc, place=pos << 8 | starts << 1 | again)
 
 
 def _batch(**columns: np.ndarray) -> pa.RecordBatch:
@@ -130,8 +131,9 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     tables = [b for b in batches if b.num_rows]
     if not tables:
         return
-    _, gram, context, doc, pos, starts, settled = (np.concatenate([np.asarray(b.column(i)) for b in tables]) for i in range(7))
+    gram, context, doc, place = (np.concatenate([np.asarray(b.column(i)) for b in tables]) for i in range(4))
     del tables
+    pos, starts, settled = place >> 8, (place >> 1 & 127).astype(np.int32), (place & 1).astype(bool)
     yield _batch(doc=doc[settled], pos=pos[settled], starts=starts[settled], gram=np.zeros(settled.sum(), np.int64), rivals=np.zeros(settled.sum(), np.int64))
     live = np.flatnonzero(~settled)
     order = live[np.lexsort((pos[live], doc[live], context[live], gram[live]))]
@@ -286,9 +288,10 @@ def removed_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     """One row per row of ``docs``: id, n_bytes, n_removed, n_spans, kept_sha256 (and ``kept_bytes``)."""
     spark = docs.sparkSession
     base = _ordered(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")))
-    ranges = base.select("doc", "text").mapInArrow(_cut, "key long, gram long, context long, doc long, pos long, starts int, settled boolean")
+    ranges = base.select("doc", "text").mapInArrow(_cut, "gram long, context long, doc long, place long")
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    met = ranges.repartition(n, "key").mapInArrow(_meet, "doc long, pos long, starts int, gram long, rivals long")
+    key = F.when(F.col("place") % 2 == 1, F.xxhash64("doc", "place")).otherwise(F.col("gram"))
+    met = ranges.repartition(n, key).mapInArrow(_meet, "doc long, pos long, starts int, gram long, rivals long")
     done, asked = F.struct("pos", "starts"), F.struct("gram", "pos", "starts", "rivals")
     per = met.groupBy("doc").agg(F.collect_list(F.when(F.col("rivals") == 0, done)).alias("done"), F.collect_list(F.when(F.col("rivals") > 0, asked)).alias("asked"))
     per = per.withColumnRenamed("doc", "p_doc")
