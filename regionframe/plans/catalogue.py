@@ -1,2 +1,519 @@
-QUERIES = {}
-ORACLES = {}
+"""The operators as queries over the driver's tables, each with the SQL that must give the same rows."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import scalars as S
+from ..operators import dedup, evalm, quality, refplan, regions, series, vote
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def t(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def r(c, n: int = 6):
+    return F.round(c, n)
+
+
+# --- evaluation -------------------------------------------------------------------------------------------------
+
+_REGIONS = "select d.lang, d.source, d.doc_id, l.quality gt, case when d.n_chars > 1500 then 1 else 0 end pred, d.n_chars npix from labels l join documents d on l.doc_id = d.doc_id"
+
+
+def _regions(spark, d):
+    docs = t(spark, d, "documents").select("doc_id", "lang", "source", F.col("n_chars").alias("npix"))
+    j = t(spark, d, "labels").select("doc_id", F.col("quality").alias("gt")).join(docs, "doc_id")
+    return j.withColumn("pred", F.when(F.col("npix") > 1500, 1).otherwise(0))
+
+
+@query(f"""with x as ({_REGIONS}) select lang, round(sum(case when gt = pred then 1e0 else 0e0 end) / count(*), 6) acc,
+ round(sum(case when gt = pred and npix > 500 then 1e0 else 0e0 end) / nullif(sum(case when npix > 500 then 1e0 else 0e0 end), 0), 6) acc_thres,
+ round(sum(case when gt = pred then npix::double else 0e0 end) / nullif(sum(npix::double), 0), 6) pix_acc,
+ round(sum(case when gt = pred and gt <> 0 then npix::double else 0e0 end) / nullif(sum(case when gt <> 0 then npix::double else 0e0 end), 0), 6) pix_acc_wobg,
+ round(coalesce(sum(case when gt = 0 and pred = 0 then 1e0 else 0e0 end) / nullif(sum(case when gt = 0 or pred = 0 then 1e0 else 0e0 end), 0), 1e0), 6) bmiou,
+ round(coalesce(sum(case when gt = 0 and pred = 0 then npix::double else 0e0 end) / nullif(sum(case when gt = 0 or pred = 0 then npix::double else 0e0 end), 0), 1e0), 6) pix_bmiou
+ from x group by lang""")
+def region_eval_metrics(spark, d):
+    m = evalm.region_metrics(_regions(spark, d), ["lang"], F.col("gt") == F.col("pred"), F.col("gt") == 0, F.col("pred") == 0, "npix", 500)
+    return m.select("lang", *[r(c).alias(c) for c in m.columns[1:]])
+
+
+@query(f"""with x as ({_REGIONS}) select lang, source, round(avg(case when gt = pred then 1e0 else 0e0 end), 6) mean, count(*) n, cast(grouping(lang) * 2 + grouping(source) as bigint) as level from x group by rollup(lang, source)""")
+def eval_rollup(spark, d):
+    m = evalm.rollup_mean(_regions(spark, d), ["lang", "source"], (F.col("gt") == F.col("pred")).cast("double"))
+    return m.select("lang", "source", r("mean").alias("mean"), "n", "level")
+
+
+@query("""with f as (select conv_id, avg(length(text)::double) m from conversations where turn > 0 group by conv_id) select count(*) folders, round(avg(m), 6) mean from f""")
+def eval_skip_first(spark, d):
+    m = evalm.skip_first_means(t(spark, d, "conversations"), "conv_id", "turn", F.length("text").cast("double"))
+    return m.agg(F.count("*").alias("folders"), r(F.avg("mean")).alias("mean"))
+
+
+@query("""select event_id // 20 as chunk, round(avg(value), 6) mean from events where event_id % 20 > 0 group by 1""")
+def eval_chunked(spark, d):
+    return evalm.chunked_means(t(spark, d, "events").select("event_id", "value"), F.col("event_id"), "value").select("chunk", r("mean").alias("mean"))
+
+
+@query("""with c as (select case when event_id < 100 then 'Longshot' when event_id < 200 then 'Faceshot' else 'Closeup' end camera, value from events where event_id < 300),
+ m as (select camera, avg(value) mean from c group by camera) select camera, round(mean, 6) mean, round((select avg(mean) from m), 6) overall from m""")
+def eval_camera_ranges(spark, d):
+    m = evalm.range_means(t(spark, d, "events").select("event_id", "value"), F.col("event_id"), "value", [("Longshot", 0, 100), ("Faceshot", 100, 200), ("Closeup", 200, 300)])
+    return m.select("camera", r("mean").alias("mean"), r(F.avg("mean").over(Window.partitionBy())).alias("overall"))
+
+
+@query("""select event_type, event_id, max(value) over w as best, (select max(event_id) from events b where b.event_type = e.event_type and b.event_id <= e.event_id and b.value = (select max(value) from events c where c.event_type = e.event_type and c.event_id <= e.event_id)) best_at
+ from events e where event_id < 400 window w as (partition by event_type order by event_id rows unbounded preceding)""")
+def best_so_far(spark, d):
+    e = t(spark, d, "events").where("event_id < 400").select("event_type", "event_id", "value")
+    return evalm.best_so_far(e, ["event_type"], "event_id", "value").select("event_type", "event_id", "best", "best_at")
+
+
+@query("""select 0 section, 'AVG' as name, round(avg(quality::double), 6) score from labels union all
+ select 1, d.lang, round(avg(quality::double), 6) from labels l join documents d on l.doc_id = d.doc_id group by d.lang union all
+ select 2, d.source, round(avg(quality::double), 6) from labels l join documents d on l.doc_id = d.doc_id group by d.source""")
+def csv_report(spark, d):
+    x = t(spark, d, "labels").join(t(spark, d, "documents").select("doc_id", "lang", "source"), "doc_id")
+    q = F.col("quality").cast("double")
+    part = lambda c: x.groupBy(F.col(c).alias("name")).agg(r(F.avg(q)).alias("score"))
+    return evalm.report([(0, t(spark, d, "labels").agg(F.lit("AVG").alias("name"), r(F.avg(q)).alias("score"))), (1, part("lang")), (2, part("source"))])
+
+
+@query("""with b as (select vec_id, label, cast(floor(embedding[1] * 40) as int) % 10 p from embeddings)
+ select label, round(avg((abs(p) = label)::int::double), 6) acc, round(sum((abs(p) = label)::int * (vec_id % 7 + 1)) / sum(vec_id % 7 + 1)::double, 6) area_acc,
+ round(avg(case when label >= 2 then (abs(p) = label)::int::double end), 6) valid_acc, count(*) n from b group by label""")
+def match_accuracy(spark, d):
+    e = t(spark, d, "embeddings").select("label", F.abs(F.floor(F.col("embedding")[0] * 40).cast("int") % 10).alias("p"), (F.col("vec_id") % 7 + 1).alias("area"))
+    hit = (F.col("p") == F.col("label")).cast("double")
+    m = e.groupBy("label").agg(r(F.avg(hit)).alias("acc"), r(F.sum(hit * F.col("area")) / F.sum("area")).alias("area_acc"), r(F.avg(F.when(F.col("label") >= 2, hit))).alias("valid_acc"), F.count("*").alias("n"))
+    return m
+
+
+# --- duplicates -------------------------------------------------------------------------------------------------
+
+
+@query("select md5(text) digest, min(doc_id) doc_id, count(*) copies from documents group by 1")
+def exact_dedup_first(spark, d):
+    return dedup.first_of_content(t(spark, d, "documents"), F.md5("text"), "doc_id")
+
+
+@query("""with k as (select doc_id, min(doc_id) over (partition by md5(text)) kd from documents) select kd as doc_id, count(*) - 1 exact_duplicates, count(*) - 1 total_duplicates from k group by kd having count(*) > 1""")
+def dedup_report(spark, d):
+    k = dedup.first_of_content(t(spark, d, "documents").select("doc_id", "text"), F.md5("text"), "doc_id").where("copies > 1")
+    return k.select("doc_id", (F.col("copies") - 1).alias("exact_duplicates"), (F.col("copies") - 1).alias("total_duplicates"))
+
+
+_SIGN = "(select vec_id, cast(list_sum([case when embedding[k] > 0 then (1 << (k - 1))::bigint else 0 end for k in range(1, 17)]) as bigint) h, embedding from embeddings)"
+
+
+def _signs(spark, d):
+    e = t(spark, d, "embeddings")
+    bits = F.aggregate(F.transform(F.slice("embedding", 1, 16), lambda x, i: F.when(x > 0, F.call_function("shiftleft", F.lit(1), i)).otherwise(0)), F.lit(0), lambda a, x: a + x)
+    return e.select("vec_id", bits.cast("long").alias("h"))
+
+
+@query(f"""select a.vec_id a, b.vec_id b, cast(bit_count(xor(a.h, b.h)) as int) distance from {_SIGN} a, {_SIGN} b where a.vec_id < b.vec_id and bit_count(xor(a.h, b.h)) < 3""")
+def near_dup_pairs(spark, d):
+    return dedup.hamming_pairs(_signs(spark, d), "vec_id", "h", 16, 3)
+
+
+@query()
+def near_dup_greedy(spark, d):
+    s = _signs(spark, d)
+    return dedup.greedy_keys(s.select(F.col("vec_id").alias("id")), dedup.hamming_pairs(s, "vec_id", "h", 16, 3).select("a", "b"))
+
+
+@query("""with k as (select min(doc_id) doc_id, count(*) n from documents group by md5(text)), e as (select doc_id, unnest(range(n)) copy from k) select doc_id, cast(copy as bigint) copy, cast(row_number() over (order by doc_id, copy) as bigint) place from e""")
+def expand_sequential(spark, d):
+    k = dedup.first_of_content(t(spark, d, "documents").select("doc_id", "text"), F.md5("text"), "doc_id").select("doc_id", "copies")
+    return dedup.expand(k, "doc_id", "copies").select("doc_id", F.col("copy").cast("long").alias("copy"), F.col("place").cast("long").alias("place"))
+
+
+@query("""select d.doc_id, k.doc_id as key_id from documents d join (select md5(text) g, min(doc_id) doc_id from documents group by 1) k on md5(d.text) = k.g""")
+def expand_by_key(spark, d):
+    docs = t(spark, d, "documents").select("doc_id", F.md5("text").alias("digest"))
+    keys = docs.groupBy("digest").agg(F.min("doc_id").alias("key_id"))
+    return dedup.expand_by_key(docs, keys, "digest").select("doc_id", "key_id")
+
+
+@query("""select c_custkey, exists (select 1 from orders where o_custkey = c_custkey and o_totalprice > 300000) big from customer where c_custkey not in (select o_custkey from orders where o_orderpriority = '1-URGENT')""")
+def keep_list_anti(spark, d):
+    o = t(spark, d, "orders")
+    c = t(spark, d, "customer").select("c_custkey").join(o.where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti")
+    big = o.where("o_totalprice > 300000").select(F.col("o_custkey").alias("c_custkey")).distinct().withColumn("b", F.lit(True))
+    return c.join(big, "c_custkey", "left").select("c_custkey", F.coalesce("b", F.lit(False)).alias("big"))
+
+
+# --- names and scalars ------------------------------------------------------------------------------------------
+
+
+@query("""select n_name, cast(row_number() over (order by split_part(n_name, '_', 1), split_part(n_name, '_', 2)::int) - 1 as bigint) ord from nation""")
+def natural_sort_rank(spark, d):
+    return t(spark, d, "nation").select("n_name", (F.row_number().over(Window.orderBy(S.natural_key(F.col("n_name")))) - 1).cast("long").alias("ord"))
+
+
+@query("""select c_name as name, try_cast(regexp_extract(c_name, '(\\d+)$', 1) as int) n from customer union all select r_name, try_cast(regexp_extract(r_name, '(\\d+)$', 1) as int) from region""")
+def trailing_int(spark, d):
+    names = t(spark, d, "customer").select(F.col("c_name").alias("name")).unionByName(t(spark, d, "region").select(F.col("r_name").alias("name")))
+    return names.select("name", S.trailing_int(F.col("name")).alias("n"))
+
+
+@query("""with u as (select page_id, split_part(split_part(url, '?', 1), '#', 1) p from pages) select page_id, split_part(p, '/', 3) host, split_part(p, '/', -1) as base, regexp_replace(split_part(p, '/', -1), '\\.[^.]*$', '') stem, regexp_extract(split_part(p, '/', -1), '\\.([^.]*)$', 1) ext, cast(len(string_split(p, '/')) as int) as depth from u""")
+def path_parts(spark, d):
+    p = t(spark, d, "pages").select("page_id", F.regexp_extract("url", r"^([^?#]*)", 1).alias("p"))
+    parts = S.path_parts(F.col("p"))
+    return p.select("page_id", F.element_at(F.split("p", "/"), 3).alias("host"), *[c.alias(n) for n, c in parts.items()])
+
+
+@query("""select doc_id, case when n_chars * 700.0 < 1024 then round(n_chars * 700.0::double, 1)::double || ' B' when n_chars * 700e0 < 1048576 then round(n_chars * 700e0 / 1024, 1)::varchar || ' KB' when n_chars * 700e0 < 1073741824 then round(n_chars * 700e0 / 1048576, 1)::varchar || ' MB' else round(n_chars * 700e0 / 1073741824, 1)::varchar || ' GB' end size from documents""")
+def human_size(spark, d):
+    return t(spark, d, "documents").select("doc_id", S.human_size(F.col("n_chars") * 700).alias("size"))
+
+
+@query("""select p_partkey, cast((p_partkey % 256) * 65536 + (p_size % 256) * 256 + (p_partkey * 7) % 256 as int) as label, cast(p_partkey % 256 as int) r, cast(p_size % 256 as int) g, cast((p_partkey * 7) % 256 as int) b from part""")
+def rgb_pack_unpack(spark, d):
+    p = t(spark, d, "part").select("p_partkey", S.pack_rgb(F.col("p_partkey") % 256, F.col("p_size") % 256, F.col("p_partkey") * 7 % 256).alias("label"))
+    return p.select("p_partkey", "label", *[c.cast("int").alias(n) for n, c in zip("rgb", S.unpack_rgb(F.col("label")))])
+
+
+@query("""with q as (select event_id, value, cast(least(floor((least(greatest(value, 0e0), 100e0) - 0e0) * 255 / 100e0), 254) as bigint) q from events) select event_id, q, round((q + 0.5e0) * 100e0 / 255 + 0e0, 6) dq, round(abs(least(greatest(value, 0e0), 100e0) - ((q + 0.5e0) * 100e0 / 255)), 6) err from q""")
+def quantize_roundtrip(spark, d):
+    v = F.least(F.greatest(F.col("value"), F.lit(0.0)), F.lit(100.0))
+    e = t(spark, d, "events").select("event_id", v.alias("v"), S.quantize(F.col("value"), 0.0, 100.0, 255).alias("q"))
+    dq = S.dequantize(F.col("q"), 0.0, 100.0, 255)
+    return e.select("event_id", "q", r(dq).alias("dq"), r(F.abs(F.col("v") - dq)).alias("err"))
+
+
+@query("""with c as (select p_partkey, (p_partkey % 256)::double r, (p_size * 5 % 256)::double g, (p_partkey * 7 % 256)::double b from part)
+ select p_partkey, cast(round_even((r * 65.481e0 + g * 128.553e0 + b * 24.966e0) / 255e0 + 16e0, 0) as int) y, cast(round_even((r * -37.797e0 + g * -74.203e0 + b * 112e0) / 255e0 + 128e0, 0) as int) cb, cast(round_even((r * 112e0 + g * -93.786e0 + b * -18.214e0) / 255e0 + 128e0, 0) as int) cr from c""")
+def ycbcr(spark, d):
+    p = t(spark, d, "part").select("p_partkey", (F.col("p_partkey") % 256).cast("double").alias("r"), (F.col("p_size") * 5 % 256).cast("double").alias("g"), (F.col("p_partkey") * 7 % 256).cast("double").alias("b"))
+    return p.select("p_partkey", *[c.alias(n) for n, c in zip(("y", "cb", "cr"), S.ycbcr(F.col("r"), F.col("g"), F.col("b")))])
+
+
+@query("""with a as (select cast(floor(k * 255 / 5) as int) v from range(6) s(k)) select x.v r, y.v g, z.v b from a x, a y, a z""")
+def color_cube(spark, d):
+    return S.color_cube(spark, 6)
+
+
+@query("""select event_id, cast(json_extract_string(props, '$.k') as int) k, cast(json_extract_string(props, '$.k') as int) * 2 doubled, 'k' as names from events""")
+def json_map_ops(spark, d):
+    e = t(spark, d, "events").select("event_id", F.from_json("props", "map<string,int>").alias("m"))
+    twice = F.transform_values("m", lambda k, v: v * 2)
+    return e.select("event_id", F.col("m")["k"].alias("k"), twice["k"].alias("doubled"), F.array_join(F.array_sort(F.map_keys("m")), ",").alias("names"))
+
+
+@query("""with s as (select event_id, case event_id % 6 when 0 then 'None' when 1 then 'true' when 2 then cast(event_id as varchar) when 3 then cast(event_id as varchar) || '.5' when 4 then '1e3' else event_type end v from events)
+ select event_id, case event_id % 6 when 0 then 'null' when 1 then 'bool' when 2 then 'int' when 3 then 'float' when 4 then 'float' else 'text' end kind, case when event_id % 6 in (2, 3, 4) then try_cast(v as double) end number from s""")
+def try_parse_literal(spark, d):
+    e = t(spark, d, "events")
+    k, i = F.col("event_id") % 6, F.col("event_id").cast("string")
+    v = F.when(k == 0, "None").when(k == 1, "true").when(k == 2, i).when(k == 3, F.concat(i, F.lit(".5"))).when(k == 4, "1e3").otherwise(F.col("event_type"))
+    e = e.select("event_id", v.alias("v"))
+    return e.select("event_id", *[c.alias(n) for n, c in S.parse_literal(F.col("v")).items()])
+
+
+@query("""with s as (select unnest(range(0, 400)) step) select step, round(1e0 * power(0.5e0, (step >= 100)::int + (step >= 200)::int + (step >= 300)::int), 9) multistep,
+ round(case when step < 50 then 1e0 * power(0.5e0, (step >= 100)::int) * step / 50e0 else 1e0 * power(0.5e0, (step >= 100)::int + (step >= 200)::int + (step >= 300)::int) end, 9) warm,
+ round(0.01e0 + case when step <= 150 then 0.5e0 * 0.99e0 * (1 + cos(3.141592653589793e0 * (step / 150e0))) else 0.25e0 * 0.99e0 * (1 + cos(3.141592653589793e0 * ((step - 150) / 250e0))) end, 9) cosine from s""")
+def lr_schedules(spark, d):
+    s = spark.range(400).select(F.col("id").alias("step"))
+    lr = S.multistep_lr(F.col("step"), 1.0, [100, 200, 300], 0.5)
+    return s.select("step", r(lr, 9).alias("multistep"), r(S.warmup_lr(F.col("step"), lr, 50), 9).alias("warm"), r(S.cosine_lr(F.col("step"), 1.0, 0.01, [150, 250], [1.0, 0.5]), 9).alias("cosine"))
+
+
+# --- groups and windows -----------------------------------------------------------------------------------------
+
+
+@query("""with c as (select l_partkey, l_returnflag, count(*) n from lineitem group by 1, 2) select l_partkey, l_returnflag, n from c qualify row_number() over (partition by l_partkey order by n desc, l_returnflag) = 1""")
+def mode_per_group(spark, d):
+    return regions.mode_per_group(t(spark, d, "lineitem"), ["l_partkey"], ["l_returnflag"])
+
+
+@query("""select user_id, event_type from events qualify row_number() over (partition by user_id order by ts, event_id) = 1""")
+def first_per_group(spark, d):
+    return regions.first_per_group(t(spark, d, "events"), ["user_id"], "event_type", ["ts", "event_id"])
+
+
+@query("""select user_id, event_type, min(event_id) xmin, max(event_id) xmax, min(value) ymin, max(value) ymax, round(avg(event_id), 6) cx, round(avg(value), 6) cy, count(*) npix from events group by 1, 2""")
+def group_bbox_centroid(spark, d):
+    g = regions.geometry(t(spark, d, "events"), ["user_id", "event_type"], "event_id", "value")
+    return g.withColumn("cx", r("cx")).withColumn("cy", r("cy"))
+
+
+@query("""select o_custkey, o_orderkey, cast(row_number() over (partition by o_custkey order by o_orderdate, o_orderkey) as int) new_label from orders""")
+def dense_relabel(spark, d):
+    return regions.dense_relabel(t(spark, d, "orders").select("o_custkey", "o_orderkey", "o_orderdate"), ["o_custkey"], ["o_orderdate", "o_orderkey"]).drop("o_orderdate")
+
+
+@query("""select p_brand, cast(row_number() over (order by count(*) desc, min(p_partkey)) - 1 as int) as rank, count(*) n from part group by p_brand""")
+def freq_rank_relabel(spark, d):
+    return regions.frequency_rank(t(spark, d, "part"), "p_brand", "p_partkey").select("p_brand", "rank", "n")
+
+
+@query("""with b as (select max(c_custkey) m from customer) select s.k as o_custkey, coalesce(n, 0) n from (select unnest(range(0, m + 1)) k from b) s left join (select o_custkey, count(*) n from orders group by 1) o on o.o_custkey = s.k""")
+def fill_gap_bincount(spark, d):
+    most = t(spark, d, "customer").agg(F.max("c_custkey")).first()[0]
+    return regions.count_with_gaps(t(spark, d, "orders"), "o_custkey", 0, most)
+
+
+for _rule, _sql in (("mean", "avg(n)"), ("median", "median(n)"), ("max", "max(n)")):
+
+    def _size_filter(spark, d, rule=_rule):
+        g = t(spark, d, "orders").groupBy("o_custkey").agg(F.count("*").alias("n"))
+        return regions.keep_large(g, "n", rule).select("o_custkey", "n")
+
+    _size_filter.__name__ = f"size_filter_{_rule}"
+    query(f"with g as (select o_custkey, count(*) n from orders group by 1) select o_custkey, n from g where n >= (select {_sql} from g)")(_size_filter)
+
+
+@query("select p_brand, p_type, min(p_partkey) as seen from part group by 1, 2")
+def distinct_sorted(spark, d):
+    return t(spark, d, "part").groupBy("p_brand", "p_type").agg(F.min("p_partkey").alias("seen")).orderBy("seen")
+
+
+@query("select o_custkey, sum(price) tv, steps from (select o_custkey, round(sum(x), 4) price, count(x) steps from (select o_custkey, abs(o_totalprice - lag(o_totalprice) over (partition by o_custkey order by o_orderkey)) x from orders) group by 1) group by o_custkey, steps")
+def tv_diff(spark, d):
+    v = quality.total_variation(t(spark, d, "orders"), ["o_custkey"], "o_orderkey", "o_totalprice")
+    return v.select("o_custkey", r(F.coalesce("tv", F.lit(None)), 4).alias("tv"), "steps")
+
+
+@query("""with o as (select user_id, event_id, value, row_number() over (partition by user_id order by event_id) - 1 i from events),
+ s as (select user_id, event_id, floor(i / 11)::bigint segment, value from o) select user_id, event_id, segment, round(avg(value) over (partition by user_id, segment order by event_id rows unbounded preceding), 6) average from s""")
+def timer_window(spark, d):
+    e = series.timer_average(t(spark, d, "events").select("user_id", "event_id", "value"), ["user_id"], "event_id", "value", 10)
+    return e.select("user_id", "event_id", "segment", r("average").alias("average"))
+
+
+@query("""with recursive o as (select user_id, event_id, value, row_number() over (partition by user_id order by event_id) i from events where user_id < 20),
+ e as (select user_id, event_id, i, value v from o where i = 1 union all select o.user_id, o.event_id, o.i, e.v * 0.6e0 + o.value * (1e0 - 0.6e0) from e join o on o.user_id = e.user_id and o.i = e.i + 1) select user_id, event_id, round(v, 6) smooth from e""")
+def ema_smooth(spark, d):
+    e = t(spark, d, "events").where("user_id < 20").select("user_id", "event_id", "value")
+    return series.ema(e, ["user_id"], "event_id", "value", 0.6).select("user_id", "event_id", r("smooth").alias("smooth"))
+
+
+@query("""with p as (select page_id, regexp_extract(url, '/(\\d+)', 1) step, regexp_extract(url, '[?&]page=(\\d+)', 1) v from pages) select page_id, try_cast(step as bigint) step, try_cast(v as double) as value from p where step <> ''""")
+def log_regex(spark, d):
+    from ..sources.logs import parse_log
+
+    return parse_log(t(spark, d, "pages").select("page_id", F.col("url").alias("value")), r"/(\d+)", r"[?&]page=(\d+)").select("page_id", "step", F.col("number").alias("value"))
+
+
+# --- reference planning -----------------------------------------------------------------------------------------
+
+_ANCHORS = """(with n as (select user_id, event_id, event_type, row_number() over (partition by user_id order by event_id) i from events) select n.user_id, n.event_id, n.i,
+ (select a.i from n a where a.user_id = n.user_id and a.event_type = 'purchase' order by abs(a.i - n.i), a.i limit 1) near from n)"""
+_NEAR = """(with n as (select user_id, event_id, event_type, row_number() over (partition by user_id order by event_id) i from events),
+ s as (select *, max(case when event_type = 'purchase' then i end) over (partition by user_id order by i rows unbounded preceding) b, min(case when event_type = 'purchase' then i end) over (partition by user_id order by i rows between current row and unbounded following) a from n)
+ select user_id, event_id, event_type, i, case when b is null then a when a is null then b when i - b <= a - i then b else a end near from s)"""
+
+
+def _numbered(spark, d):
+    e = t(spark, d, "events").select("user_id", "event_id", "event_type", "value")
+    return e.withColumn("i", F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")).cast("long"))
+
+
+@query(f"select user_id, event_id, near as nearest from {_NEAR}")
+def nearest_anchor(spark, d):
+    return refplan.nearest_anchor(_numbered(spark, d), ["user_id"], "i", F.col("event_type") == "purchase").select("user_id", "event_id", "nearest")
+
+
+@query(f"select user_id, event_id, case when near = i then i when near < i then i - 1 else i + 1 end ref from {_NEAR}")
+def step_toward_anchor(spark, d):
+    n = refplan.nearest_anchor(_numbered(spark, d), ["user_id"], "i", F.col("event_type") == "purchase")
+    return n.select("user_id", "event_id", refplan.step_toward(F.col("i"), F.col("nearest")).alias("ref"))
+
+
+@query(f"select user_id, event_id, abs(i - near) as depth from {_NEAR}")
+def topo_depth(spark, d):
+    n = refplan.nearest_anchor(_numbered(spark, d), ["user_id"], "i", F.col("event_type") == "purchase")
+    return n.select("user_id", "event_id", refplan.depth(F.col("i"), F.col("nearest")).alias("depth"))
+
+
+@query(f"select x.user_id, x.event_id, round(e.value, 6) as label from {_NEAR} x left join (select n.user_id, n.i, e.value from {_NEAR} n join events e on n.event_id = e.event_id where n.event_type = 'purchase') e on e.user_id = x.user_id and e.i = x.near")
+def propagate_labels(spark, d):
+    return refplan.propagate(_numbered(spark, d), ["user_id"], "i", F.col("event_type") == "purchase", r("value")).select("user_id", "event_id", "label")
+
+
+@query("""select c.conv_id, c.turn as later, p.turn as earlier, cast(c.turn - p.turn as int) distance from conversations c join conversations p on c.conv_id = p.conv_id and c.turn - p.turn between 0 and 2""")
+def lag_pairs(spark, d):
+    return refplan.lag_pairs(t(spark, d, "conversations"), ["conv_id"], "turn", [0, 1, 2])
+
+
+@query("""with s as (select s_nationkey k, s_name, row_number() over (partition by s_nationkey order by s_suppkey) p from supplier), c as (select c_nationkey k, c_name, row_number() over (partition by c_nationkey order by c_custkey) p from customer) select k as nation, cast(p as int) place, s_name, c_name from s join c using (k, p)""")
+def positional_zip(spark, d):
+    s = t(spark, d, "supplier").select(F.col("s_nationkey").alias("nation"), "s_suppkey", "s_name")
+    c = t(spark, d, "customer").select(F.col("c_nationkey").alias("nation"), "c_custkey", "c_name")
+    return refplan.positional_zip(s, c, "nation", "s_suppkey", "c_custkey").select("nation", "place", "s_name", "c_name")
+
+
+# --- votes and vectors ------------------------------------------------------------------------------------------
+
+
+@query("""with s as (select o_custkey, o_orderpriority, round(sum(o_totalprice), 2) total from orders group by 1, 2) select o_custkey, o_orderpriority, total from s qualify row_number() over (partition by o_custkey order by total desc, o_orderpriority) = 1""")
+def weighted_vote(spark, d):
+    return vote.weighted_vote(t(spark, d, "orders"), ["o_custkey"], "o_orderpriority", "o_totalprice", 2)
+
+
+@query("""with s as (select user_id, event_type, avg(value) / 20 sc from events group by 1, 2), m as (select user_id, greatest(max(sc), 2.5e0) peak, max(sc) top from s group by 1)
+ select m.user_id, case when top >= 2.5e0 then (select min(event_type) from s where s.user_id = m.user_id and s.sc = m.top) else '-1' end as "match",
+ round(1e0 / ((select sum(exp(sc - peak)) from s where s.user_id = m.user_id) + exp(2.5e0 - peak)), 6) probability from m""")
+def dustbin_softmax(spark, d):
+    s = t(spark, d, "events").groupBy("user_id", "event_type").agg((F.avg("value") / 20).alias("sc"))
+    out = vote.dustbin_softmax(s.withColumnRenamed("event_type", "k"), ["user_id"], "k", "sc", 2.5)
+    return out.select("user_id", "match", r("probability").alias("probability"))
+
+
+@query("""with e as (select label, generate_subscripts(embedding, 1) - 1 as dim, unnest(embedding)::double v from embeddings) select label, cast(dim as int) dim, round(avg(v), 5) mean, count(*) n from e group by 1, 2""")
+def segment_mean_pool(spark, d):
+    return vote.mean_pool(t(spark, d, "embeddings"), "label", "embedding").select("label", "dim", r("mean", 5).alias("mean"), "n")
+
+
+@query("""with c as (select label, embedding::double[] c from embeddings where vec_id < 10), x as (select e.vec_id, c.label, round(list_distance(e.embedding::double[], c.c), 9) dist, c.c from embeddings e, c) select vec_id, label as near_label, round(dist, 5) as distance from x qualify row_number() over (partition by vec_id order by dist, label) = 1""")
+def nearest_centroid(spark, d):
+    e = t(spark, d, "embeddings")
+    centers = e.where("vec_id < 10").select("label", F.col("embedding").alias("center"))
+    n = vote.nearest_center(e.select("vec_id", "embedding"), centers, "embedding", "center", "label")
+    return n.select("vec_id", F.col("near.label").alias("near_label"), r("near.distance", 5).alias("distance"))
+
+
+@query("""with e as (select label, generate_subscripts(embedding, 1) - 1 as dim, unnest(embedding)::double v from embeddings), m as (select label, dim, avg(v) mu, var_samp(v) va from e group by 1, 2)
+ select round(sum((a.mu - b.mu) * (a.mu - b.mu) + a.va + b.va - 2 * sqrt(a.va * b.va)), 5) distance from m a join m b on a.dim = b.dim where a.label = 0 and b.label = 1""")
+def covar_fid_diag(spark, d):
+    m = quality.moments(t(spark, d, "embeddings"), "label", "embedding")
+    return quality.frechet_diagonal(m, "label", 0, 1).select(r("distance", 5).alias("distance"))
+
+
+@query("""with i as (select unnest(range(8)) i) select cast(a.i as int) i, cast(b.i as int) j, round((select avg(embedding[a.i + 1]::double * embedding[b.i + 1]::double) from embeddings), 6) g from i a, i b""")
+def gram(spark, d):
+    return quality.gram(t(spark, d, "embeddings"), "embedding", 8).select("i", "j", r("g").alias("g"))
+
+
+@query("""with m as (select p_brand, avg((l_extendedprice - l_quantity * p_retailprice) * (l_extendedprice - l_quantity * p_retailprice)) mse from lineitem join part on l_partkey = p_partkey group by 1) select p_brand, round(case when mse = 0 then 'Infinity'::double else 10 * log10(255e0 * 255e0 / mse) end, 4) psnr, round(10 * log10(1 / (mse + 1e-8)), 4) psnr_batch from m""")
+def psnr_by_group(spark, d):
+    j = t(spark, d, "lineitem").select("l_partkey", "l_extendedprice", "l_quantity").join(t(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), "p_brand", "p_retailprice"), "l_partkey")
+    e = F.col("l_extendedprice") - F.col("l_quantity") * F.col("p_retailprice")
+    return j.groupBy("p_brand").agg(F.avg(e * e).alias("mse")).select("p_brand", r(quality.psnr(F.col("mse")), 4).alias("psnr"), r(quality.psnr_batch(F.col("mse")), 4).alias("psnr_batch"))
+
+
+@query("""select l_returnflag, round(avg(abs(l_discount - l_tax)), 8) l1, round(avg((l_discount - l_tax) * (l_discount - l_tax)), 8) mse, round(avg(sqrt((l_discount - l_tax) * (l_discount - l_tax) + 1e-12)), 8) charbonnier, round(sum(abs(l_discount - l_tax) * l_quantity) / sum(l_quantity), 8) weighted_l1 from lineitem group by 1""")
+def losses(spark, d):
+    m = quality.losses(t(spark, d, "lineitem"), ["l_returnflag"], F.col("l_discount"), F.col("l_tax"), F.col("l_quantity"))
+    return m.select("l_returnflag", *[r(c, 8).alias(c) for c in m.columns[1:]])
+
+
+@query("""with b as (select event_id // 8 as block, value x, value * 0.9e0 + (event_id % 5) y from events), m as (select block, avg(x) mx, avg(y) my, var_pop(x) vx, var_pop(y) vy, covar_pop(x, y) c from b group by 1)
+ select block, round((2 * mx * my + 6.5025e0) * (2 * c + 58.5225e0) / ((mx * mx + my * my + 6.5025e0) * (vx + vy + 58.5225e0)), 5) ssim from m""")
+def ssim_block(spark, d):
+    e = t(spark, d, "events").select(F.floor(F.col("event_id") / 8).cast("long").alias("block"), F.col("value").alias("x"), (F.col("value") * 0.9 + F.col("event_id") % 5).alias("y"))
+    return quality.ssim_blocks(e, ["block"], "x", "y").select("block", r("ssim", 5).alias("ssim"))
+
+
+# --- grids ------------------------------------------------------------------------------------------------------
+
+_CELLS = "(select o_custkey % 64 x, o_orderkey % 64 y from orders group by 1, 2 having count(*) % 2 = 1)"
+
+
+def _cells(spark, d):
+    o = t(spark, d, "orders").select((F.col("o_custkey") % 64).alias("x"), (F.col("o_orderkey") % 64).alias("y"))
+    return o.groupBy("x", "y").agg(F.count("*").alias("n")).where("n % 2 = 1").select("x", "y")
+
+
+@query(f"""with recursive c as (select * from {_CELLS}), w as (select x, y, y * 64 + x id, y * 64 + x m from c union select c.x, c.y, c.y * 64 + c.x, w.m from w join c on abs(c.x - w.x) + abs(c.y - w.y) = 1),
+ l as (select x, y, min(m) m from w group by 1, 2) select x, y, cast(dense_rank() over (order by m) as int) component from l""")
+def components_grid(spark, d):
+    runs = regions.components(_cells(spark, d), [])
+    return runs.select(F.explode(F.sequence("x0", "x1")).alias("x"), "y", "component")
+
+
+_LABELS = f"(select g.x, g.y, case when c.x is null then 0 else (g.x // 8) + (g.y // 8) * 8 + 1 end as label from (select a.k x, b.k y from range(64) a(k), range(64) b(k)) g left join {_CELLS} c on c.x = g.x and c.y = g.y)"
+
+
+def _labels(spark, d):
+    axis = spark.range(64)
+    grid = axis.select(F.col("id").alias("x")).join(axis.select(F.col("id").alias("y")), how="cross")
+    cells = _cells(spark, d).withColumn("on", F.lit(True))
+    return grid.join(cells, ["x", "y"], "left").select("x", "y", F.when(F.col("on"), F.floor(F.col("x") / 8) + F.floor(F.col("y") / 8) * 8 + 1).otherwise(0).cast("long").alias("label"))
+
+
+@query(f"""with g as (select * from {_LABELS}) select g.x, g.y, cast(case when g.label <> 0 then g.label else coalesce(
+ {', '.join(f'(select nullif(n.label, 0) from g n where n.x = g.x + {dx} and n.y = g.y + {dy})' for dx, dy in regions.NEIGHBOURS)}, 0) end as bigint) as label from g""")
+def thin_round(spark, d):
+    return regions.thin_round(_labels(spark, d), [])
+
+
+@query(f"""with g as (select * from {_LABELS} where label <> 0), s as (select label, count(*) n from g group by 1),
+ a as (select distinct p.label, q.label other from g p join g q on abs(p.x - q.x) <= 1 and abs(p.y - q.y) <= 1 and p.label <> q.label),
+ b as (select a.label, a.other from a join s on s.label = a.other qualify row_number() over (partition by a.label order by s.n, a.other) = 1)
+ select cast(s.label as bigint) as label, s.n, cast(case when s.n < 30 then coalesce(b.other, s.label) else s.label end as bigint) target from s left join b on s.label = b.label""")
+def erase_small(spark, d):
+    return regions.erase_small(_labels(spark, d), [], 30).select("label", "n", "target")
+
+
+@query("""select cast(round_even(value, 0) as bigint) x, cast(round_even(event_id / 100e0, 0) as bigint) y, max_by(event_type, event_id) event_type, count(*) writers from events group by 1, 2""")
+def splat_last(spark, d):
+    return regions.splat(t(spark, d, "events"), [], F.col("value"), F.col("event_id") / 100.0, "event_type", "event_id")
+
+
+# --- sets and samples -------------------------------------------------------------------------------------------
+
+
+@query("""select r_name as name, cast(k as int) k from region, range(1, 4) s(k) union all select n_name, 1 from nation""")
+def union_repeat(spark, d):
+    three = t(spark, d, "region").select(F.col("r_name").alias("name"), F.explode(F.sequence(F.lit(1), F.lit(3))).alias("k"))
+    return three.unionByName(t(spark, d, "nation").select(F.col("n_name").alias("name"), F.lit(1).alias("k")))
+
+
+@query("""select 'only_customer' side, k from (select c_nationkey k from customer where c_acctbal > 9000 except select s_nationkey from supplier where s_acctbal > 5000) union all select 'both', k from (select c_nationkey k from customer where c_acctbal > 9000 intersect select s_nationkey from supplier where s_acctbal > 5000)""")
+def set_diff(spark, d):
+    c = t(spark, d, "customer").where("c_acctbal > 9000").select(F.col("c_nationkey").alias("k"))
+    s = t(spark, d, "supplier").where("s_acctbal > 5000").select(F.col("s_nationkey").alias("k"))
+    return c.subtract(s).select(F.lit("only_customer").alias("side"), "k").unionByName(c.intersect(s).select(F.lit("both").alias("side"), "k"))
+
+
+@query("""select o_orderkey, cast((row_number() over (order by md5('7:' || o_orderkey), o_orderkey) - 1) % 4 as int) as rank from orders""")
+def shuffle_stride(spark, d):
+    o = t(spark, d, "orders").select("o_orderkey")
+    place = F.row_number().over(Window.orderBy(F.md5(F.concat(F.lit("7:"), F.col("o_orderkey").cast("string"))), "o_orderkey"))
+    return o.select("o_orderkey", ((place - 1) % 4).cast("int").alias("rank"))
+
+
+# --- kernels and streams ----------------------------------------------------------------------------------------
+
+
+@query()
+def arrow_kernel_fill(spark, d):
+    from ..operators.kernels import fill_frames
+
+    return fill_frames(_labels(spark, d).select(F.lit("grid").alias("clip_id"), F.lit(0).alias("frame_no"), "y", "x", (F.col("label") == 0).alias("line")), radii=(3, 2, 1))
+
+
+@query()
+def stream_dedup(spark, d):
+    from ..streaming.streams import distinct_events
+
+    return distinct_events(spark, f"{d}/events.parquet")
+
+
+@query("""select date_trunc('hour', ts) as start, event_type, count(*) n, round(sum(value), 4) total from events group by 1, 2""")
+def stream_window(spark, d):
+    from ..streaming.streams import hourly_totals
+
+    return hourly_totals(spark, f"{d}/events.parquet")
