@@ -1,0 +1,312 @@
+"""The corpus operators against brute force, with nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns."""
+
+import hashlib
+import random
+import re
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from regionframe.llm import chat_preferences, decontaminate, hnsw, langid, masked_lm, minhash_dedup, page_text, pareto_mix, pii_surrogates, suffix_dedup
+from regionframe.llm.column_bwt import suffixes
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+#: Names that operators use inside; they must not clash.
+CLASH = ["row", "hits", "key", "id", "doc", "body", "w", "n", "gaps", "a", "b"]
+
+
+def documents(spark, rows, clash=False):
+    d = spark.createDataFrame(rows, DOCS)
+    return d.withColumns({c: F.lit(1) for c in CLASH}) if clash else d
+
+
+def low(s):
+    return s.translate({i: i + 32 for i in range(65, 91)})
+
+
+def prose(rng, n, words):
+    return " ".join(rng.choice(words) for _ in range(n))
+
+
+WORDS = [a + b for a in "ba ke lo mi nu pa re so tu wi".split() for b in "ban kel lor mit nus par rel".split()]
+
+
+@pytest.fixture(scope="module")
+def corpus():
+    rng = random.Random(5)
+    rows = [(k, prose(rng, rng.randint(1, 120), WORDS), "xx", f"s{k % 3}", 1) for k in range(60)]
+    base = rows[7][1].split() + prose(rng, 60, WORDS).split()
+    for k in range(60, 75):  # near copies: a few words changed
+        near = list(base)
+        for _ in range(k % 5):
+            near[rng.randrange(len(near))] = "zz"
+        rows.append((k, " ".join(near), "xx", None, 1))
+    rows += [(80, None, None, None, None), (81, "", "xx", "s1", 0), (82, " \t\n ", "xx", "s1", 0), (83, "one two", "xx", "s1", 1), (84, "One\ttwo", "xx", "s1", 1), (85, "é " * 3000, "xx", "s2", 1)]
+    rows += [rows[3], (None, "lost words here", "xx", "s1", 1), (90, "Nd, " * 400, "xx", "s0", 1)]
+    return rows
+
+
+def test_chat(spark):
+    t = [(0, 0, "user", "hi"), (0, 1, "assistant", "a"), (1, 0, "user", "hi"), (1, 1, "assistant", "b"), (1, 2, None, None), (4, 0, "user", "x"), (None, 0, "user", "n"), (0, 1, "assistant", "a")]
+    d = spark.createDataFrame(t, "conv_id long, turn long, role string, text string").withColumn("pair_id", F.lit(9)).withColumn("t", F.lit(1))
+    out = {r.pair_id: r for r in chat_preferences.format_preferences(d, *chat_preferences.adjacent_pairs()).collect()}
+    r = out[0]
+    assert r.n_prefix == 1 and r.prompt == "<|user|>\nhi<|end|>\n" and r.rejected.startswith("<|assistant|>\nb<|end|>\n<|unknown|>\n")
+    assert [r.chosen[int(a) : int(b)] for a, b in (s.split("-") for s in r.chosen_mask.split(","))] == ["a<|end|>", "a<|end|>"]
+    assert out[2].rejected is None and out[2].chosen_id == 4 and out[None].chosen.startswith("<|user|>\nn")
+    assert chat_preferences.format_preferences(d.limit(0), *chat_preferences.adjacent_pairs()).count() == 0
+
+
+PAGE = """<html><head><title>T</title><style>p{}</style></head><body class="has-sidebar"><header>Top</header><nav><a href=x>Menu</a></nav><div class="ad">Buy</div>
+<article class="post"><h1>Title &amp; more</h1><p>First <b>bold</b>
+text<br>next &eacute;<p>Second<script>var x="</p>";</script><form>mail <input></form><aside>side</aside><!-- <p>no</p> --><ul><li>one<li>two</ul>
+<section class="comments"><p>Nice!</p></section></article><div id="cookie-notice">Cookies</div><footer>&copy; me</footer></body></html>"""
+
+
+def test_pages(spark):
+    same = "<html><body><p>Welcome to the site</p><p>Story {} is here</p><p>All rights kept</p></body></html>"
+    rows = [(1, "http://a.b/x", PAGE), (2, "http://a.b/y", None), (3, "http://h.c/n/1", same.format("one")), (4, "http://h.c/n/2", same.format("two")), (5, None, "<p>alone"), (1, "http://a.b/x", PAGE), (6, "u", "<p>cut <b")]
+    d = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit(1)).withColumn("key", F.lit(2)).withColumn("lines", F.lit(3))
+    out = [(r.page_id, r.text, r.n_chars) for r in page_text.main_text(d).collect()]
+    main = "Title & more\n\nFirst bold text next é\n\nSecond\n\none\n\ntwo"
+    assert sorted(out, key=str) == sorted([(1, main, len(main)), (1, main, len(main)), (2, "", 0), (3, "Story one is here", 17), (4, "Story two is here", 17), (5, "alone", 5), (6, "cut", 3)], key=str)
+    assert page_text.main_text(d.limit(0)).count() == 0
+    rng = random.Random(2)
+    for _ in range(100):
+        a, b = ([rng.randrange(4) for _ in range(rng.randrange(9))] for _ in "ab")
+        table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i in range(len(a)):
+            for j in range(len(b)):
+                table[i + 1][j + 1] = table[i][j] + 1 if a[i] == b[j] else max(table[i][j + 1], table[i + 1][j])
+        got = page_text.common(a, b)
+        it = iter(b)
+        assert len(got) == table[-1][-1] and all(a[i] in it for i in got)
+
+
+def test_language(spark):
+    rng = random.Random(3)
+    kinds = {"aa": WORDS, "bb": [w[::-1] + "x" for w in WORDS]}
+    rows = [(k, prose(rng, rng.randint(1, 30), kinds[lang]), lang, lang, 1) for k, lang in ((k, rng.choice(["aa", "bb"])) for k in range(200))]
+    rows += [(900, None, "aa", "", 0), (901, "123 !!", "bb", "", 0), (902, "", None, "", 0), rows[0]]
+    out = {r.doc_id: r for r in langid.language_of(documents(spark, rows, True), per_lang=100).collect()}
+    held = [r for r in rows[:200] if out[r[0]].held_out]
+    assert len(out) == 203 and 30 < len(held) < 110
+    assert sum(out[r[0]].lang_pred == r[2] for r in held) >= 0.97 * len(held)
+    assert all(out[k].lang_pred == "und" and out[k].score == 0 for k in (900, 901, 902))
+    kept = langid.identified(documents(spark, rows, True), per_lang=100)
+    assert set(CLASH) < set(kept.columns) and {r.doc_id for r in kept.collect()}.isdisjoint({900, 901, 902})
+    assert langid.language_of(documents(spark, [])).count() == 0
+    m = langid.train([("aa", "x y"), ("bb", "z")], steps=3)
+    whole = langid.fold("ab cd " * 400_000)  # more than a chunk: as if read at once
+    assert np.allclose(m.scores([whole, b" q "])[0], m.scores([whole])[0])
+
+
+def test_surrogates(spark):
+    rows = [
+        (1, "mail Ann.Lee@corp.com or +1 (499) 555-6503, card 4539578763621486.", "", "", 0), (2, "call +1 499 555 6503; ip 10.20.30.40; ann.lee@corp.com", "", "", 0),
+        (3, 'token = "254a3ed195c502ef96b5857aa82e5fbcfb6b6856" Mr. John Smith met Mrs. Mary Jones', "", "", 0), (4, None, "", "", 0), (5, "", "", "", 0), (6, "clean words only", "", "", 0), (1, "mail Ann.Lee@corp.com or +1 (499) 555-6503, card 4539578763621486.", "", "", 0),
+    ]
+    out = pii_surrogates.replace_entities(documents(spark, rows, True), count_col="found")
+    got = {r.doc_id: r for r in out.collect()}
+    assert out.count() == 7 and got[4].text is None and got[6].text == "clean words only" and got[1].found == 3 and got[3].found == 3
+    one = re.fullmatch(r"mail (\S+@\S+) or (\+1 \(\d{3}\) \d{3}-\d{4}), card (\d{16})\.", got[1].text)
+    two = re.fullmatch(r"call (\+1 \d{3} \d{3} \d{4}); ip (\d+\.\d+\.\d+\.\d+); (\S+)", got[2].text)
+    digits = lambda s: re.sub(r"\D", "", s)
+    assert digits(one[2]) == digits(two[1]) != "14995556503" and one[1].lower() == two[3].lower() != "ann.lee@corp.com"
+    luhn = lambda s: sum(sum(divmod(int(c) * (2 if i % 2 else 1), 10)) for i, c in enumerate(reversed(s))) % 10
+    assert luhn("4539578763621486") == 0 == luhn(one[3]) and one[3] != "4539578763621486"
+    three = re.fullmatch(r'token = "([0-9a-f]{40})" Mr\. (\w+) (\w+) met Mrs\. (\w+) (\w+)', got[3].text)
+    assert three and three[2] in pii_surrogates.GIVEN["latin", "m"] and three[4] in pii_surrogates.GIVEN["latin", "f"]
+    assert pii_surrogates.replace_entities(documents(spark, [])).count() == 0
+    # Distinct in a tiny space: 90 addresses of one shape that can clash often.
+    many = [(k, f"at 7.7.7.{k}", "", "", 0) for k in range(10, 100)]
+    seen = [r.text for r in pii_surrogates.replace_entities(documents(spark, many)).collect()]
+    assert len(set(seen)) == 90 and not set(seen) & {r[1] for r in many}
+
+
+def hits(text, items):
+    find = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+").findall
+    w = find(low(text or ""))
+    covered, ids = set(), set()
+    for item, body in items:
+        v = find(low(body or ""))
+        n = min(13, len(v))
+        for s in {tuple(v[k : k + n]) for k in range(len(v) - n + 1)} if n else ():
+            for k in range(len(w) - n + 1):
+                if tuple(w[k : k + n]) == s:
+                    covered |= set(range(k, k + n))
+                    ids.add(str(item))
+    return len(w), len(covered), len(ids), hashlib.sha256(",".join(sorted(ids)).encode()).hexdigest(), bool(covered) and 20 * len(covered) >= len(w), covered
+
+
+@pytest.mark.parametrize("bound", [decontaminate.SET_BOUND, 3])
+def test_decontamination(spark, corpus, bound):
+    rng = random.Random(9)
+    items = [(10, prose(rng, 30, WORDS)), (9, prose(rng, 13, WORDS)), (2, "Short ITEM é"), (3, None), (4, "!!"), (5, "solo")]
+    rows = list(corpus) + [(200, f"x {items[0][1].upper()} y", "", "", 0), (201, "a short\nitem, É short item é; solo", "", "", 0), (202, prose(rng, 300, WORDS) + " " + items[1][1], "", "", 0)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    out = decontaminate.contamination(documents(spark, rows, True), bench, bound=bound).collect()
+    assert len(out) == len(rows)
+    want = sorted(((r[0], *hits(r[1], items)[:5]) for r in rows), key=str)
+    assert sorted(((r.doc_id, r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in out), key=str) == want
+    kept = decontaminate.decontaminate(documents(spark, rows, True), bench, bound=bound)
+    assert set(CLASH) < set(kept.columns) and kept.count() == sum(not x[5] for x in want)
+    cut = {r.doc_id: r.text for r in decontaminate.decontaminate(documents(spark, rows), bench, remove="spans", bound=bound).collect()}
+    assert cut[200] == "x  y" and cut[85] == "é " * 3000
+    assert decontaminate.contamination(documents(spark, []), bench).count() == 0
+    assert decontaminate.contamination(documents(spark, rows), bench.limit(0)).where("n_hit > 0").count() == 0
+
+
+def test_nearest(spark):
+    rng = np.random.default_rng(4)
+    v = rng.standard_normal((1200, 16))
+    v[100:400] = v[100]
+    rows = [(k, x.tolist()) for k, x in enumerate(v)] + [(2000, None), (2050, [0.0] * 16), (2100, [float("nan")] * 16), (2150, [None] * 16), (None, v[0].tolist()), (5, v[5].tolist()), (2200, [])]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("v", F.lit(1)).withColumn("row", F.lit(1)).withColumn("shard", F.lit(1))
+    got = {}
+    for r in hnsw.nearest(d, shard=400).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    unit = v / np.linalg.norm(v, axis=1)[:, None]
+    right = 0
+    assert sorted(got) == list(range(0, 1200, 50))
+    for q, found in got.items():
+        s = unit @ unit[q]
+        s[q] = -9
+        best = sorted(range(1200), key=lambda k: (-round(s[k], 9), k))[:5]
+        right += len(set(best) & {k for k, _ in found})
+        assert len(found) == 5 and all(abs(s[k] - x) < 1e-9 for k, x in found)
+    assert right >= 0.95 * 5 * len(got)
+    assert [k for k, _ in got[150]] == [100, 101, 102, 103, 104]
+    assert hnsw.nearest(d.limit(0)).count() == 0
+    assert hnsw.nearest(d.where("vec_id in (0, 1, 2)")).count() == 2
+
+
+def test_masked_lm(spark, corpus):
+    rng = random.Random(1)
+    order = [WORDS[k : k + 7] for k in range(0, 70, 7)]
+    rows = [(k, " ".join(order[(k + j) % 10][rng.randrange(7)] for j in range(200)), "", "", 0) for k in range(60)]
+    mixed = rows[0][1].split()
+    rng.shuffle(mixed)
+    rows += [(100, " ".join(mixed), "", "", 0), (101, None, "", "", 0), (102, "", "", "", 0), (103, "lone", "", "", 0), rows[1]]
+    out = masked_lm.pseudo_likelihood(documents(spark, rows, True)).collect()
+    got = {r.doc_id: r for r in out}
+    assert len(out) == len(rows) and got[101].n_tokens == 0 and got[101].log_likelihood == 0 and got[102].mean_log_likelihood is None and got[103].n_tokens == 1
+    assert got[0].log_likelihood > got[100].log_likelihood + 20  # order counts
+    assert masked_lm.pseudo_likelihood(documents(spark, [])).count() == 0
+
+
+def linked(rows):
+    def shingle(t):
+        w = re.findall(r"[^\x20\x09-\x0D]+", low(t or ""))
+        return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+
+    sets = {}
+    for r in rows:
+        sets.setdefault(r[0], []).append(shingle(r[1]))
+    root = {k: k for k in sets if k is not None}
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    ids = sorted(root)
+    for a in ids:
+        for b in ids:
+            if a < b and any(x and y and 100 * len(x & y) >= 75 * len(x | y) for x in sets[a] for y in sets[b]):
+                p, q = find(a), find(b)
+                root[max(p, q)] = min(p, q)
+    return {k: find(k) for k in ids}, {k: sorted(len(s) for s in v) for k, v in sets.items()}
+
+
+def test_near_duplicates(spark, corpus):
+    root, sizes = linked(corpus)
+    out = minhash_dedup.near_duplicates(documents(spark, corpus, True)).collect()
+    assert len(out) == len(corpus) and len(set(root.values())) < len(root) - 10
+    assert {r.doc_id: r.component_id for r in out if r.doc_id is not None} == root
+    assert all(r.n_shingles in sizes[r.doc_id] and r.kept == (r.doc_id is None or r.doc_id == r.component_id) for r in out)
+    kept = minhash_dedup.distinct_documents(documents(spark, corpus))
+    assert {r.doc_id for r in kept.collect()} == {k for k, c in root.items() if k == c} | {None}
+    assert minhash_dedup.near_duplicates(documents(spark, [])).count() == 0
+
+
+def test_components(spark):
+    chain = [(k, k + 1) for k in range(40)] + [(100, 101), (103, 101), (103, 102)]
+    got = {r.node: r.component for r in minhash_dedup.components(spark.createDataFrame(chain, "a long, b long")).collect()}
+    assert got == {k: 0 for k in range(41)} | {k: 100 for k in range(100, 104)}
+
+
+def removed(rows):
+    def key(r):
+        return (r[0] is None, r[0] or 0, hashlib.md5((r[1] or "").encode()).hexdigest())
+
+    seen, out = set(), {}
+    for k in sorted({key(r): r for r in rows}.items()):
+        b = (k[1][1] or "").encode()
+        gone = np.zeros(len(b), bool)
+        for i in range(len(b) - 99):
+            if b[i : i + 100] in seen:
+                gone[i : i + 100] = True
+            seen.add(b[i : i + 100])
+        kept = np.frombuffer(b, np.uint8)[~gone].tobytes()
+        out[k[0]] = (len(b), int(gone.sum()), int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum()), hashlib.sha256(kept).hexdigest())
+    return sorted(((r[0], *out[key(r)]) for r in rows), key=str)
+
+
+@pytest.mark.parametrize("repeated", [False, True])
+@pytest.mark.parametrize("hot", [4096, 2])
+def test_repeats(spark, corpus, repeated, hot, monkeypatch):
+    rng = random.Random(8)
+    shared = prose(rng, 60, WORDS)
+    rows = [r for r in corpus if r[0] is not None]
+    rows = rows if repeated else list({r[0]: r for r in rows}.values())
+    rows += [(300 + k, f"{prose(rng, 20, WORDS)} {shared} {prose(rng, 20, WORDS)}", "", "", 0) for k in range(12)]
+    if repeated:
+        rows += [(300, shared, "", "", 0), (None, shared, "", "", 0)]
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
+    monkeypatch.setenv("UNUSED", "1")
+    out = suffix_dedup.removed_repeats(documents(spark, rows, True)).collect()
+    assert sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in out), key=str) == removed(rows)
+    assert suffix_dedup.removed_repeats(documents(spark, [])).count() == 0
+
+
+def test_column_bwt():
+    rng = random.Random(1)
+    for _ in range(50):
+        s = [bytes(rng.choice(b"ab") for _ in range(rng.randint(1, 12))) for _ in range(rng.randint(1, 8))]
+        string, offset, lcp = suffixes(s, 7)
+        want = sorted((s[i][k:], i, k) for i in range(len(s)) for k in range(len(s[i]) + 1))
+        assert [(i, k) for _, i, k in want] == list(zip(string.tolist(), offset.tolist()))
+        share = lambda x, y: next((n for n in range(7) if n >= min(len(x), len(y)) or x[n] != y[n]), 7)
+        assert lcp.tolist() == [0] + [share(want[i - 1][0], want[i][0]) for i in range(1, len(want))]
+
+
+def test_mix(spark, corpus):
+    d = documents(spark, corpus, True)
+    out = pareto_mix.pareto_mix(d).collect()
+    again = pareto_mix.pareto_mix(d).collect()
+    assert sorted(map(tuple, out), key=str) == sorted(map(tuple, again), key=str) and len(out) == len(corpus)
+    sums = {}
+    for r in corpus:
+        sums[r[3]] = sums.get(r[3], 0) + len(re.findall(r"[^\x20\x09-\x0D]+", r[1] or ""))
+    names = sorted(s for s in sums if s is not None) + [None]
+    weight = {s: (3, 1, 2)[k % 3] for k, s in enumerate(names)}
+    left, goal = {s for s in names if sums[s]}, dict.fromkeys(names, 0.0)
+    total = 1.5 * sum(sums.values())
+    while True:
+        level = (total - sum(goal[s] for s in names if s not in left)) / sum(weight[s] for s in left)
+        over = {s for s in left if level * weight[s] > 2 * sums[s]}
+        if not over:
+            break
+        for s in over:
+            goal[s] = 2.0 * sums[s]
+        left -= over
+    for s in left:
+        goal[s] = level * weight[s]
+    taken = dict.fromkeys(names, 0)
+    for r in out:
+        assert abs(r.target - goal[r.source]) < 1e-6 and r.source_size == sums[r.source] and r.taken <= 2 * r.size and (r.size == 0 or r.taken % r.size == 0)
+        taken[r.source] += r.taken
+    assert all(abs(taken[s] - goal[s]) <= 0.05 * goal[s] + 3 for s in names)
+    assert pareto_mix.pareto_mix(documents(spark, [])).count() == 0
