@@ -34,6 +34,7 @@ PAD = VOCABULARY + RARE_CLASSES
 IDS, CLASSES = PAD + 1, FREQUENT_CLASSES + RARE_CLASSES
 SHAPES = {"embed": (IDS, DIM), "project": (SIDES, DIM, HIDDEN), "inner": (HIDDEN,), "out": (HIDDEN, CLASSES), "bias": (CLASSES,)}
 TOKENS = 1 << 14
+WARM_STEPS = 300
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,7 +184,7 @@ def _sum_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.float64(), pa.binary()))], names=["chunk", "salt", "weight", "data"])
 
 
-def fit(texts: DataFrame, *, warm_rows: int = 400, rate: float = 0.3) -> tuple[Words, dict[str, np.ndarray]] | None:
+def fit(texts: DataFrame, *, warm_rows: int = 400, rate: float = 0.5) -> tuple[Words, dict[str, np.ndarray]] | None:
     """Train on all rows of ``texts`` (column ``text``)."""
     counts = texts.mapInArrow(_count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
     counts = materialise(counts, "lm-counts")
@@ -196,8 +197,10 @@ def fit(texts: DataFrame, *, warm_rows: int = 400, rate: float = 0.3) -> tuple[W
     words = Words([r["word"] for r in top], [r["n"] for r in top], rare)
     p = initial(words)
     warm = [r["text"] for r in texts.where(F.col("text").isNotNull() & (F.octet_length("text") <= 100_000)).select("text", F.xxhash64("text").alias("h")).orderBy("h", "text").limit(warm_rows).collect()]
-    for sides, target in _windows(warm, words, 2):
-        descend(p, sides, target, rate)
+    steps = list(_windows(warm, words, 2))
+    for k in range(max(len(steps), WARM_STEPS) if steps else 0):
+        descend(p, *steps[k % len(steps)], rate)
+    del steps
     start = texts.sparkSession.sparkContext.broadcast((words, p))
 
     def refine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
