@@ -110,7 +110,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, remove: str = "docum
     """
     base, _ = scan(docs, benchmark, text_col=text_col, **options)
     if remove == "documents":
-        return base.where(~F.col("contaminated")).select("row.*")
+        # A predicate pushed below the scan would be evaluated with the text split anew for every word; the id keeps it above.
+        held = base.select("row", "contaminated", F.monotonically_increasing_id().alias("above"))
+        return held.where(~F.col("contaminated") & (F.col("above") >= 0)).select("row.*")
     if remove != "spans":
         raise ValueError("remove is 'documents' or 'spans'")
     text = F.col(f"row.{text_col}")
