@@ -12,6 +12,7 @@ from .hnsw import nearest
 from .langid import language_of
 from .masked_lm import pseudo_likelihood
 from .minhash_dedup import near_duplicates
+from .oracles import ORACLES
 from .page_text import main_text
 from .pareto_mix import pareto_mix
 from .pii_surrogates import replace_entities
@@ -59,4 +60,4 @@ def op10_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_chat_preferences, op2_page_text, op3_language_id, op4_pii_surrogates, op5_decontaminate, op6_hnsw, op7_masked_lm, op8_minhash_dedup, op9_suffix_dedup, op10_pareto_mix)}
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES"]
