@@ -6,9 +6,9 @@ corpus counts.  A document's score is the sum of the words' conditional log-prob
 
 * Word counts, the vocabulary (the VOCABULARY most frequent words, a bound of the model), class sizes and the shares of rare words cover
   all documents and are counted in the cluster.
-* The network starts from a few texts and is then trained on all documents: every partition runs stochastic gradient descent
-  over every STRIDE-th position of each of its texts, and the partitions' parameters are averaged in two levels (parameter averaging).
-* Only the model, whose size is fixed, and sums of it reach the driver.
+* The network starts from a few distinct texts of any length and is then trained on all documents: every partition runs stochastic gradient
+  descent over every position of each of its texts, and the partitions' parameters are averaged in two levels (parameter averaging).
+* Only the model, whose size is fixed, sums of it and the texts of the start reach the driver.
 
 Words are split at white space and lower-cased.  Defined cases: null or empty text has no words and score 0; one word
 is predicted from blanks; an empty table gives an empty result; repeated rows are scored each; other columns are ignored whatever their names.
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import materialise
 
 VOCABULARY, FREQUENT_CLASSES, RARE_CLASSES = 8192, 64, 16
-DIM, HIDDEN, REACH, STRIDE = 16, 32, 2, 16
+DIM, HIDDEN, REACH = 16, 32, 2
 SIDES = 2 * REACH
 PAD = VOCABULARY + RARE_CLASSES
 IDS, CLASSES = PAD + 1, FREQUENT_CLASSES + RARE_CLASSES
@@ -93,35 +93,39 @@ def initial(words: Words, seed: int = 3) -> dict[str, np.ndarray]:
 def descend(p: dict[str, np.ndarray], sides: np.ndarray, target: np.ndarray, rate: float) -> None:
     """One step of gradient descent on windows."""
     n = len(target)
-    x = p["embed"][sides]
-    h = np.tanh(np.einsum("nsd,sdh->nh", x, p["project"], optimize=True) + p["inner"])
-    z = h @ p["out"] + p["bias"]
-    z = np.exp(z - z.max(1, keepdims=True))
+    project = p["project"].reshape(SIDES * DIM, HIDDEN)  # a view: steps on it move the parameters
+    x = p["embed"].take(sides.ravel(), axis=0).reshape(n, SIDES * DIM)
+    h = np.tanh(x @ project + p["inner"])
+    z = h @ p["out"]
+    z += p["bias"]
+    z -= z.max(1, keepdims=True)
+    np.exp(z, out=z)
     z /= z.sum(1, keepdims=True)
     z[np.arange(n), target] -= 1
     back = (z @ p["out"].T) * (1 - h * h)
     scale = np.float32(rate / n)
     p["out"] -= scale * (h.T @ z)
     p["bias"] -= scale * z.sum(0)
-    into = np.einsum("nh,sdh->nsd", back, p["project"], optimize=True).reshape(-1, DIM)
-    p["project"] -= scale * np.einsum("nsd,nh->sdh", x, back, optimize=True)
+    into = (back @ project.T).reshape(-1, DIM)
+    project -= scale * (x.T @ back)
     p["inner"] -= scale * back.sum(0)
-    flat = sides.ravel()
+    flat = sides.ravel().astype(np.int16)  # IDS fits; short integers are sorted by radix
     order = np.argsort(flat, kind="stable")
-    heads = np.flatnonzero(np.concatenate([[True], np.diff(flat[order]) > 0]))
+    flat = flat[order]
+    heads = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]]))
     # Rare words would hardly move at the mean's rate: a word's step counts its own windows.
-    p["embed"][flat[order[heads]]] -= np.float32(rate) * np.add.reduceat(into[order], heads, axis=0) / np.float32(np.sqrt(n))
+    p["embed"][flat[heads]] -= np.float32(rate) * np.add.reduceat(into.take(order, axis=0), heads, axis=0) / np.float32(np.sqrt(n))
 
 
-def _windows(batches, words: Words, stride: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Training windows of every text, about 512 at once."""
+def _windows(batches, words: Words) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Training windows of every position of every text, about 512 at once."""
     held: list[tuple[np.ndarray, np.ndarray]] = []
     size = 0
     for text in batches:
         ids = words.encode(text)
         if not len(ids):
             continue
-        at = np.arange(len(ids) // 2 % min(stride, len(ids)), len(ids), stride) + REACH
+        at = np.arange(len(ids)) + REACH
         padded = np.concatenate([np.full(REACH, PAD), ids, np.full(REACH, PAD)])
         held.append((_sides(padded, at), words.cls[padded[at]]))
         size += len(at)
@@ -184,6 +188,14 @@ def _sum_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.float64(), pa.binary()))], names=["chunk", "salt", "weight", "data"])
 
 
+def first_texts(texts: DataFrame, rows: int) -> list[str]:
+    """The ``rows`` texts of least hash: copies count once, and no length is left out."""
+    hashed = texts.where(F.col("text").isNotNull()).select("text", F.xxhash64("text").alias("h"))
+    least = [r["h"] for r in hashed.select("h").distinct().orderBy("h").limit(rows).collect()]
+    found = hashed.where(F.col("h").isin(least)).groupBy("h").agg(F.min("text").alias("text")).collect()
+    return [r["text"] for r in sorted(found, key=lambda r: r["h"])]
+
+
 def fit(texts: DataFrame, *, warm_rows: int = 400, rate: float = 0.5) -> tuple[Words, dict[str, np.ndarray]] | None:
     """Train on all rows of ``texts`` (column ``text``)."""
     counts = texts.mapInArrow(_count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
@@ -196,11 +208,15 @@ def fit(texts: DataFrame, *, warm_rows: int = 400, rate: float = 0.5) -> tuple[W
     rare = {r["k"]: (r["n"], r["d"]) for r in beyond.groupBy((F.crc32(F.col("word").cast("binary")) % RARE_CLASSES).alias("k")).agg(F.sum("n").alias("n"), F.count("*").alias("d")).collect()}
     words = Words([r["word"] for r in top], [r["n"] for r in top], rare)
     p = initial(words)
-    warm = [r["text"] for r in texts.where(F.col("text").isNotNull() & (F.octet_length("text") <= 100_000)).select("text", F.xxhash64("text").alias("h")).orderBy("h", "text").limit(warm_rows).collect()]
-    steps = list(_windows(warm, words, 2))
-    for k in range(max(len(steps), WARM_STEPS) if steps else 0):
-        descend(p, *steps[k % len(steps)], rate)
-    del steps
+    warm, done, last = first_texts(texts, warm_rows), 0, -1
+    while last < done < WARM_STEPS:  # a whole pass at least; more while steps are missing
+        last, whole_pass = done, done == 0
+        for step in _windows(warm, words):
+            descend(p, *step, rate)
+            done += 1
+            if not whole_pass and done >= WARM_STEPS:
+                break
+    del warm
     start = texts.sparkSession.sparkContext.broadcast((words, p))
 
     def refine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,7 +231,7 @@ def fit(texts: DataFrame, *, warm_rows: int = 400, rate: float = 0.5) -> tuple[W
                     name ^= len(text or "") * 2654435761 & 0xFFFFFFFF
                     yield text
 
-        for sides, target in _windows(bodies(), w, STRIDE):
+        for sides, target in _windows(bodies(), w):
             descend(own, sides, target, rate / 3)
             used += len(target)
         if used:

@@ -196,6 +196,16 @@ def test_masked_lm(spark, corpus):
     assert masked_lm.pseudo_likelihood(documents(spark, [])).count() == 0
 
 
+def test_masked_lm_trains_on_every_position(spark):
+    text = "a b " * 500
+    words = masked_lm.Words(["a", "b"], [500, 500], {})
+    seen = list(masked_lm._windows([text, None, "a"], words))
+    assert sum(len(target) for _, target in seen) == 1001
+    long = "long " * 30_000  # over 100 000 bytes
+    got = masked_lm.first_texts(spark.createDataFrame([(long,), (None,), *[("same",)] * 50, ("other",)], "text string"), 3)
+    assert sorted(got) == sorted([long, "same", "other"])
+
+
 def linked(rows):
     def shingle(t):
         w = re.findall(r"[^\x20\x09-\x0D]+", low(t or ""))
@@ -256,7 +266,7 @@ def removed(rows):
 
 @pytest.mark.parametrize("repeated", [False, True])
 @pytest.mark.parametrize("hot", [4096, 2])
-def test_repeats(spark, corpus, repeated, hot, monkeypatch):
+def test_repeats(spark, corpus, repeated, hot):
     rng = random.Random(8)
     shared = prose(rng, 60, WORDS)
     rows = [r for r in corpus if r[0] is not None]
