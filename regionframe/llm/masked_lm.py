@@ -4,8 +4,9 @@ Every word is predicted from the two words on either side, the word itself maske
 embeddings are summed, go through tanh and a softmax over word classes; the word's share of its class comes from
 corpus counts.  A document's score is the sum of the words' conditional log-probabilities.
 
-* Word counts, the vocabulary (the VOCABULARY most frequent words, a bound of the model), class sizes and the shares of rare words cover
-  all documents and are counted in the cluster.
+* Word counts, the vocabulary (the VOCABULARY most frequent words, a bound of the network), class sizes and the shares of all words cover
+  all documents and are counted in the cluster.  A word beyond the vocabulary belongs to one of RARE_CLASSES classes, which is all that the network
+  sees of it; its share of the class is its own count, joined from the table of counts.
 * The network starts from a few distinct texts of any length and is then trained on all documents: every partition runs stochastic gradient
   descent over every position of each of its texts, and the partitions' parameters are averaged in two levels (parameter averaging).
 * Only the model, whose size is fixed, sums of it and the texts of the start reach the driver.
@@ -22,6 +23,7 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -54,9 +56,9 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Words:
-    """Word -> id, class of each id, and log share of the word in its class."""
+    """Word -> id, class of each id, and log share of the word in its class; for rare words the share of one occurrence (``rare``: class -> occurrences)."""
 
-    def __init__(self, words: list[str], counts: list[int], rare: dict[int, tuple[int, int]]):
+    def __init__(self, words: list[str], counts: list[int], rare: dict[int, int]):
         self.ids = {w: k for k, w in enumerate(words)}
         n = np.array(counts, np.float64)
         mass = np.cumsum(n) - n / 2
@@ -66,16 +68,23 @@ class Words:
         self.share = np.zeros(IDS)
         self.share[: len(n)] = np.log(n / sums[cls])
         for k in range(RARE_CLASSES):
-            self.share[VOCABULARY + k] = -np.log(max(rare.get(k, (0, 1))[1], 1))
-        total = np.concatenate([sums, [rare.get(k, (0, 0))[0] for k in range(RARE_CLASSES)]]) + 1.0
+            self.share[VOCABULARY + k] = -np.log(max(rare.get(k, 1), 1))
+        total = np.concatenate([sums, [rare.get(k, 0) for k in range(RARE_CLASSES)]]) + 1.0
         self.prior = np.log(total / total.sum()).astype(np.float32)
 
     def encode(self, text: str | None) -> np.ndarray:
-        words = (text or "").lower().split()
+        return self.numbers((text or "").lower().split())
+
+    def numbers(self, words: list[str]) -> np.ndarray:
         ids = self.ids
         return np.array([ids[w] if w in ids else VOCABULARY + crc32(w.encode("utf-8", "surrogatepass")) % RARE_CLASSES for w in words], np.int32)
 
 
+def _hash(word: str) -> int:
+    """Spark's xxhash64 of a word, unsigned."""
+    return xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"), 42)
+
+
 def _sides(ids: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Neighbours of the positions ``at`` of a padded array of ids."""
     return ids[at[:, None] + np.array([d for d in range(-REACH, REACH + 1) if d])]
@@ -139,7 +148,7 @@ def _windows(batches, words: Words) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 
 def score(words: Words, p: dict[str, np.ndarray], texts: list[np.ndarray]) -> np.ndarray:
-    """Summed log-probabilities of texts given as ids."""
+    """Summed log-probabilities of texts given as ids, a rare word counting as if it occurred once in the corpus."""
     tables = [p["embed"] @ p["project"][s] for s in range(SIDES)]
     gap = np.full(REACH, PAD, np.int32)
     out = np.zeros(len(texts))
@@ -196,8 +205,8 @@ def first_texts(texts: DataFrame, rows: int) -> list[str]:
     return [r["text"] for r in sorted(found, key=lambda r: r["h"])]
 
 
-def fit(texts: DataFrame, *, warm_rows: int = 400, rate: float = 0.5) -> tuple[Words, dict[str, np.ndarray]] | None:
-    """Train on all rows of ``texts`` (column ``text``)."""
+def fit(texts: DataFrame, *, warm_rows: int = 400, rate: float = 0.5) -> tuple[Words, dict[str, np.ndarray], DataFrame] | None:
+    """Train on all rows of ``texts`` (column ``text``); the last result has the counts of the words beyond the vocabulary."""
     counts = texts.mapInArrow(_count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
     counts = materialise(counts, "lm-counts")
     top = counts.orderBy(F.col("n").desc(), "word").limit(VOCABULARY).collect()
@@ -205,7 +214,7 @@ def fit(texts: DataFrame, *, warm_rows: int = 400, rate: float = 0.5) -> tuple[W
         return None
     least = (top[-1]["n"], top[-1]["word"])
     beyond = counts.where((F.col("n") < least[0]) | ((F.col("n") == least[0]) & (F.col("word") > least[1])))
-    rare = {r["k"]: (r["n"], r["d"]) for r in beyond.groupBy((F.crc32(F.col("word").cast("binary")) % RARE_CLASSES).alias("k")).agg(F.sum("n").alias("n"), F.count("*").alias("d")).collect()}
+    rare = {r["k"]: r["n"] for r in beyond.groupBy((F.crc32(F.col("word").cast("binary")) % RARE_CLASSES).alias("k")).agg(F.sum("n").alias("n")).collect()}
     words = Words([r["word"] for r in top], [r["n"] for r in top], rare)
     p = initial(words)
     warm, done, last = first_texts(texts, warm_rows), 0, -1
@@ -249,28 +258,38 @@ def fit(texts: DataFrame, *, warm_rows: int = 400, rate: float = 0.5) -> tuple[W
     whole = materialise(some.repartition(8, "chunk").mapInArrow(_sum_chunks, shape), "lm-parameters").orderBy("chunk").collect()
     if whole:
         p = _unpack(np.concatenate([np.frombuffer(bytes(r["data"]), np.float64) / r["weight"] for r in whole]).astype(np.float32))
-    return words, p
+    return words, p, beyond
 
 
 def pseudo_likelihood(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_tokens, log_likelihood (summed), mean_log_likelihood (null without words) of every row."""
     base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     model = fit(base.select("text"))
-    held = base.sparkSession.sparkContext.broadcast(model)
+    if model is None:
+        return base.select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_tokens"), F.lit(0.0).alias("log_likelihood"), F.lit(None).cast("double").alias("mean_log_likelihood"))
+    words, p, beyond = model
+    held = base.sparkSession.sparkContext.broadcast((words, p))
     kind = base.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, p = held.value
         for batch in batches:
             for lo in range(0, batch.num_rows, 128):
                 part = batch.slice(lo, 128)
-                if held.value is None:
-                    n, sums = np.zeros(part.num_rows, np.int64), np.zeros(part.num_rows)
-                else:
-                    words, p = held.value
-                    ids = [words.encode(t.as_py()) for t in part.column(1)]
-                    n, sums = np.array([len(x) for x in ids]), score(words, p, ids)
-                mean = pa.array(np.where(n > 0, sums / np.maximum(n, 1), 0.0), pa.float64(), mask=n == 0)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(sums, pa.float64()), mean], names=["id", "n_tokens", "log_likelihood", "mean_log_likelihood"])
-
-    out = base.mapInArrow(run, f"id {kind}, n_tokens long, log_likelihood double, mean_log_likelihood double")
-    return out.withColumnRenamed("id", id_col)
+                ids, rare = [], []
+                for t in part.column(2):
+                    text = (t.as_py() or "").lower().split()
+                    ids.append(words.numbers(text))
+                    rare.append([_hash(text[k]) for k in np.flatnonzero(ids[-1] >= VOCABULARY).tolist()])
+                n, sums = np.array([len(x) for x in ids]), score(words, p, ids)
+                lists = pa.ListArray.from_arrays(np.cumsum([0, *map(len, rare)]).astype(np.int32), pa.array(np.array([h for x in rare for h in x], np.uint64).view(np.int64)))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n, pa.int64()), pa.array(sums, pa.float64()), lists], names=["row", "id", "n", "sums", "rare"])
+
+    numbered = base.select(F.monotonically_increasing_id().alias("row"), "id", "text")
+    scored = materialise(numbered.mapInArrow(run, f"row long, id {kind}, n long, sums double, rare array<long>"), "lm-scores")
+    # The share of a word that occurs n times is n times that of one occurrence; words seen once are settled.
+    repeated = beyond.where("n > 1").select(F.xxhash64("word").alias("word"), F.log("n").alias("more"))
+    met = scored.select("row", F.explode("rare").alias("word")).join(repeated.hint("shuffle_hash"), "word")
+    out = scored.drop("rare").join(met.groupBy("row").agg(F.sum("more").alias("more")), "row", "left")
+    total = F.col("sums") + F.coalesce("more", F.lit(0.0))
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_tokens"), total.alias("log_likelihood"), F.when(F.col("n") > 0, total / F.col("n")).alias("mean_log_likelihood"))

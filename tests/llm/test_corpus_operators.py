@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import zlib
 
 import numpy as np
 import pytest
@@ -206,6 +207,16 @@ def test_masked_lm_trains_on_every_position(spark):
     assert sorted(got) == sorted([long, "same", "other"])
 
 
+def test_masked_lm_counts_of_words_beyond_the_vocabulary(spark):
+    kind = lambda w: zlib.crc32(w.encode()) % masked_lm.RARE_CLASSES
+    often = "öfter"
+    once = next(w for w in (f"once{k}" for k in range(1000)) if kind(w) == kind(often))
+    frequent = " ".join(f"w{k}" for k in range(masked_lm.VOCABULARY))
+    rows = [(k, t, "", "", 0) for k, t in enumerate([" ".join([frequent] * 6), often, once, often, f"w1 {often} {often}"])]
+    got = {r.doc_id: r.log_likelihood for r in masked_lm.pseudo_likelihood(documents(spark, rows)).collect()}
+    assert abs(got[1] - got[2] - np.log(4)) < 1e-6 and abs(got[1] - got[3]) < 1e-6
+
+
 def linked(rows):
     def shingle(t):
         w = re.findall(r"[^\x20\x09-\x0D]+", low(t or ""))
