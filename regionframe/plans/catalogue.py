@@ -86,6 +86,14 @@ def best_so_far(spark, d):
     return evalm.best_so_far(e, ["event_type"], "event_id", "value").select("event_type", "event_id", "best", "best_at")
 
 
+@query("""with b as (select event_type, event_id, value, max(value) over (partition by event_type order by event_id rows unbounded preceding) best from events)
+ select event_type, event_id, best, max(case when value = best then event_id end) over (partition by event_type order by event_id rows unbounded preceding) best_at from b""")
+def best_so_far_all(spark, d):
+    """best_so_far of every event; the other's SQL keeps a prefix of the ids."""
+    e = t(spark, d, "events").select("event_type", "event_id", "value")
+    return evalm.best_so_far(e, ["event_type"], "event_id", "value").select("event_type", "event_id", "best", "best_at")
+
+
 @query("""select 0 section, 'AVG' as name, round(avg(quality::double), 6) score from labels union all
  select 1, d.lang, round(avg(quality::double), 6) from labels l join documents d on l.doc_id = d.doc_id group by d.lang union all
  select 2, d.source, round(avg(quality::double), 6) from labels l join documents d on l.doc_id = d.doc_id group by d.source""")

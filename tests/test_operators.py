@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from regionframe.functions import scalars as S
 from regionframe.operators import dedup, evalm, kernels, refplan, regions, series, vote
+from regionframe.plans import catalogue
 
 
 def one(spark, *cols):
@@ -73,6 +74,17 @@ def test_greedy_and_hamming(spark):
     assert {r.id: r.key for r in dedup.greedy_keys(d.select("id"), pairs.select("a", "b")).collect()} == {0: 0, 1: 0, 2: 0, 3: 3}
 
 
+def test_best_of_all_events(spark, tmp_path):
+    rng = np.random.default_rng(1)
+    rows = [(k, int(rng.integers(20, 25)), "ab"[int(rng.integers(2))], float(rng.integers(20 + k // 40))) for k in range(900)]
+    spark.createDataFrame(rows, "event_id long, user_id long, event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
+    want = set()
+    for k, _, kind, _ in rows:
+        best = max((v, i) for i, _, other, v in rows[: k + 1] if other == kind)
+        want.add((kind, k, *best))
+    assert {tuple(r) for r in catalogue.QUERIES["best_so_far_all"](spark, str(tmp_path)).collect()} == want
+
+
 def test_kernels():
     free = np.ones((9, 9), bool)
     free[4, :] = False
