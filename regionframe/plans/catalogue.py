@@ -317,6 +317,14 @@ def ema_smooth(spark, d):
     return series.ema(e, ["user_id"], "event_id", "value", 0.6).select("user_id", "event_id", r("smooth").alias("smooth"))
 
 
+@query("""with recursive o as (select user_id, event_id, value, row_number() over (partition by user_id order by event_id) i from events),
+ e as (select user_id, event_id, i, value v from o where i = 1 union all select o.user_id, o.event_id, o.i, e.v * 0.6e0 + o.value * (1e0 - 0.6e0) from e join o on o.user_id = e.user_id and o.i = e.i + 1) select user_id, event_id, round(v, 6) smooth from e""")
+def ema_smooth_all(spark, d):
+    """ema_smooth of every user; the other's SQL keeps a prefix of the ids."""
+    e = t(spark, d, "events").select("user_id", "event_id", "value")
+    return series.ema(e, ["user_id"], "event_id", "value", 0.6).select("user_id", "event_id", r("smooth").alias("smooth"))
+
+
 @query("""with p as (select page_id, regexp_extract(url, '/(\\d+)', 1) step, regexp_extract(url, '[?&]page=(\\d+)', 1) v from pages) select page_id, try_cast(step as bigint) step, try_cast(v as double) as value from p where step <> ''""")
 def log_regex(spark, d):
     from ..sources.logs import parse_log

@@ -85,6 +85,17 @@ def test_best_of_all_events(spark, tmp_path):
     assert {tuple(r) for r in catalogue.QUERIES["best_so_far_all"](spark, str(tmp_path)).collect()} == want
 
 
+def test_smoothing_of_all_users(spark, tmp_path):
+    rng = np.random.default_rng(2)
+    rows = [(k, int(rng.integers(15, 30)), "a", float(rng.integers(100))) for k in range(300)]
+    spark.createDataFrame(rows, "event_id long, user_id long, event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
+    last, want = {}, {}
+    for k, user, _, v in rows:
+        last[user] = want[user, k] = v if user not in last else last[user] * 0.6 + v * 0.4
+    got = {(r.user_id, r.event_id): r.smooth for r in catalogue.QUERIES["ema_smooth_all"](spark, str(tmp_path)).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 2e-6 for k in want)
+
+
 def test_kernels():
     free = np.ones((9, 9), bool)
     free[4, :] = False
