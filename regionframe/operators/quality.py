@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,6 +43,26 @@ def gram(df: DataFrame, vector: str, dims: int) -> DataFrame:
     return df.select(F.explode(cells).alias("c")).groupBy("c.i", "c.j").agg(F.avg("c.p").alias("g"))
 
 
+def gram_matrix(df: DataFrame, vector: str) -> DataFrame:
+    """Mean products of all dimensions, summed per partition before the shuffle; a pair counts the rows that have both."""
+
+    def add(batches):
+        sums = hits = np.zeros((0, 0))
+        for batch in batches:
+            rows = [v for v in batch.column(0).to_pylist() if v]
+            x = np.full((len(rows), max([len(sums), *map(len, rows)])), np.nan)
+            for k, v in enumerate(rows):
+                x[k, : len(v)] = [np.nan if e is None else e for e in v]
+            known = ~np.isnan(x)
+            x, known, more = np.where(known, x, 0.0), known.astype(float), x.shape[1] - len(sums)
+            sums, hits = (np.pad(m, (0, more)) + y.T @ y for m, y in ((sums, x), (hits, known)))
+        i, j = np.nonzero(hits)
+        yield pa.RecordBatch.from_arrays([pa.array(i, pa.int32()), pa.array(j, pa.int32()), pa.array(sums[i, j]), pa.array(hits[i, j].astype(np.int64))], names=["i", "j", "s", "n"])
+
+    parts = df.select(F.col(vector).cast("array<double>").alias("v")).mapInArrow(add, "i int, j int, s double, n long")
+    return parts.groupBy("i", "j").agg((F.sum("s") / F.sum("n")).alias("g"))
+
+
 def total_variation(df: DataFrame, group: list[str], order: str, value: str) -> DataFrame:
     w = Window.partitionBy(*group).orderBy(order)
     return df.withColumn("d", F.abs(F.col(value) - F.lag(value).over(w))).groupBy(*group).agg(F.sum("d").alias("tv"), F.count("d").alias("steps"))

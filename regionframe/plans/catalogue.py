@@ -142,6 +142,17 @@ def near_dup_pairs(spark, d):
     return dedup.hamming_pairs(_signs(spark, d), "vec_id", "h", 16, 3)
 
 
+@query(f"""with p as (select a.vec_id a, b.vec_id b, cast(bit_count(xor(a.h, b.h)) as int) distance, a.embedding::double[] x, b.embedding::double[] y from {_SIGN} a, {_SIGN} b where a.vec_id < b.vec_id and bit_count(xor(a.h, b.h)) < 3),
+ c as (select a, b, distance, round(list_dot_product(x, y) / nullif(sqrt(list_dot_product(x, x)) * sqrt(list_dot_product(y, y)), 0), 6) cosine from p) select * from c where cosine >= 0.2""")
+def near_dup_pairs_checked(spark, d):
+    """near_dup_pairs whose whole vectors are alike."""
+    pairs = dedup.hamming_pairs(_signs(spark, d), "vec_id", "h", 16, 3)
+    side = lambda k: t(spark, d, "embeddings").select(F.col("vec_id").alias(k), F.col("embedding").alias(f"v{k}"))
+    norm = lambda v: F.sqrt(vote.dot(F.col(v), F.col(v)))
+    cosine = r(F.try_divide(vote.dot(F.col("va"), F.col("vb")), norm("va") * norm("vb")))
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "distance", cosine.alias("cosine")).where("cosine >= 0.2")
+
+
 @query()
 def near_dup_greedy(spark, d):
     s = _signs(spark, d)
@@ -410,6 +421,16 @@ def nearest_centroid(spark, d):
     return n.select("vec_id", F.col("near.label").alias("near_label"), r("near.distance", 5).alias("distance"))
 
 
+@query("""with e as (select label, generate_subscripts(embedding, 1) - 1 as dim, unnest(embedding)::double v from embeddings), m as (select label, dim, avg(v) mu from e group by 1, 2), c as (select label, list(mu order by dim) c from m group by 1),
+ x as (select e.vec_id, c.label, round(list_distance(e.embedding::double[], c.c), 9) dist from embeddings e, c) select vec_id, label as near_label, round(dist, 5) as distance from x qualify row_number() over (partition by vec_id order by dist, label) = 1""")
+def nearest_pooled_centroid(spark, d):
+    """Nearest of the labels' mean vectors; nearest_centroid's SQL takes ten raw rows as centres."""
+    e = t(spark, d, "embeddings")
+    pooled = vote.mean_pool(e, "label", "embedding").groupBy("label").agg(F.array_sort(F.collect_list(F.struct("dim", "mean"))).alias("c"))
+    n = vote.nearest_center(e.select("vec_id", "embedding"), pooled.select("label", F.col("c.mean").alias("center")), "embedding", "center", "label")
+    return n.select("vec_id", F.col("near.label").alias("near_label"), r("near.distance", 5).alias("distance"))
+
+
 @query("""with e as (select label, generate_subscripts(embedding, 1) - 1 as dim, unnest(embedding)::double v from embeddings), m as (select label, dim, avg(v) mu, var_samp(v) va from e group by 1, 2)
  select round(sum((a.mu - b.mu) * (a.mu - b.mu) + a.va + b.va - 2 * sqrt(a.va * b.va)), 5) distance from m a join m b on a.dim = b.dim where a.label = 0 and b.label = 1""")
 def covar_fid_diag(spark, d):
@@ -422,6 +443,12 @@ def gram(spark, d):
     return quality.gram(t(spark, d, "embeddings"), "embedding", 8).select("i", "j", r("g").alias("g"))
 
 
+@query("""with i as (select unnest(range((select max(len(embedding)) from embeddings))) i) select cast(a.i as int) i, cast(b.i as int) j, round(avg(embedding[a.i + 1]::double * embedding[b.i + 1]::double), 6) g from embeddings, i a, i b group by a.i, b.i""")
+def gram_all(spark, d):
+    """gram of all dimensions; the other's SQL takes the first eight."""
+    return quality.gram_matrix(t(spark, d, "embeddings"), "embedding").select("i", "j", r("g").alias("g"))
+
+
 @query("""with m as (select p_brand, avg((l_extendedprice - l_quantity * p_retailprice) * (l_extendedprice - l_quantity * p_retailprice)) mse from lineitem join part on l_partkey = p_partkey group by 1) select p_brand, round(case when mse = 0 then 'Infinity'::double else 10 * log10(255e0 * 255e0 / mse) end, 4) psnr, round(10 * log10(1 / (mse + 1e-8)), 4) psnr_batch from m""")
 def psnr_by_group(spark, d):
     j = t(spark, d, "lineitem").select("l_partkey", "l_extendedprice", "l_quantity").join(t(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), "p_brand", "p_retailprice"), "l_partkey")

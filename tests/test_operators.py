@@ -96,6 +96,27 @@ def test_smoothing_of_all_users(spark, tmp_path):
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 2e-6 for k in want)
 
 
+def test_whole_vectors(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((60, 20)).astype(np.float32)
+    x[30:, :16] = x[:30, :16]  # equal signs in the first 16 dimensions
+    x[45:, 16:] *= 20
+    label = [k // 6 for k in range(60)]  # ids below 10 have two of ten labels
+    rows = [(k, label[k], x[k].tolist()) for k in range(60)]
+    spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    run = lambda name: catalogue.QUERIES[name](spark, str(tmp_path)).collect()
+    x = x.astype(float)
+    means = np.stack([x[np.array(label) == k].mean(0) for k in range(10)])
+    assert {r.vec_id: r.near_label for r in run("nearest_pooled_centroid")} == {k: int(((means - x[k]) ** 2).sum(1).argmin()) for k in range(60)}
+    g = {(r.i, r.j): r.g for r in run("gram_all")}
+    assert len(g) == 400 and all(abs(g[i, j] - (x[:, i] * x[:, j]).mean()) < 2e-6 for i, j in g)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    sign = x[:, :16] > 0
+    near = {(a, b) for a in range(60) for b in range(a + 1, 60) if (sign[a] != sign[b]).sum() < 3}
+    alike = {(a, b) for a, b in near if unit[a] @ unit[b] >= 0.2}
+    assert {(r.a, r.b) for r in run("near_dup_pairs_checked")} == alike < near
+
+
 def test_kernels():
     free = np.ones((9, 9), bool)
     free[4, :] = False
