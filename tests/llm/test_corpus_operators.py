@@ -217,6 +217,22 @@ def test_masked_lm_counts_of_words_beyond_the_vocabulary(spark):
     assert abs(got[1] - got[2] - np.log(4)) < 1e-6 and abs(got[1] - got[3]) < 1e-6
 
 
+def differenced(spark, rows):
+    return {r.page_id: r.text for r in page_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+
+
+def test_pages_beside_copies(spark):
+    page = lambda *lines: "<html><body>" + "".join(f"<p>{x}</p>" for x in lines) + "</body></html>"
+    one, story = page("Welcome", "The only story of this host", "Rights"), [f"Paragraph {k} of a long story" for k in range(20)]
+    rows = [(1, "http://copy.x/a", one), (2, "https://copy.x/a?q=1", one), (3, "http://copy.x/b", one)]
+    rows += [(4, "http://more.x/n/1", one), (5, "http://more.x/n/1?v=2", one), (6, "http://more.x/n/2", one), (7, "http://more.x/n/3", page("Welcome", "Another one", "Rights"))]
+    rows += [(8, "http://near.x/1", page(*story, "End")), (9, "http://near.x/2", page(*story, "Fin"))]
+    got = differenced(spark, rows)
+    assert all(got[k] == "Welcome\n\nThe only story of this host\n\nRights" for k in (1, 2, 3))
+    assert all(got[k] == "The only story of this host" for k in (4, 5, 6)) and got[7] == "Another one"
+    assert got[8] == "\n\n".join([*story, "End"]) and got[9] == "\n\n".join([*story, "Fin"])
+
+
 def linked(rows):
     def shingle(t):
         w = re.findall(r"[^\x20\x09-\x0D]+", low(t or ""))
