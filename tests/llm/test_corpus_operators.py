@@ -233,6 +233,33 @@ def test_pages_beside_copies(spark):
     assert got[8] == "\n\n".join([*story, "End"]) and got[9] == "\n\n".join([*story, "Fin"])
 
 
+def test_pages_of_a_large_host(spark):
+    rows = [(k, f"http://big.x/en/{k:04d}", f"<p>Terms of section {k // 10}</p><p>Story {k} is told here</p>") for k in range(1200)]
+    rows += [(k, f"http://copies.x/{k}", "<p>Same</p><p>text</p>") for k in range(5000, 5300)] + [(6000, "http://copies.x/60", "<p>Same</p><p>end of it</p>")]
+    got = differenced(spark, rows)
+    assert all(got[k] == f"Story {k} is told here" for k in range(1200))
+    assert all(got[k] == "text" for k in range(5000, 5300)) and got[6000] == "end of it"
+
+
+def test_carried_rows_are_those_of_the_whole_order():
+    rng = random.Random(4)
+    for _ in range(200):
+        rows = sorted({(rng.choice("ab"), str(k), rng.randrange(2), True, ()) for k in range(rng.randrange(1, 12))})
+        parts = [rng.randrange(4) for _ in rows]
+        parts.sort()
+        edges = []
+        for p in set(parts):
+            own = [r for r, q in zip(rows, parts) if q == p]
+            for last, found in ((False, page_text._two(iter(own))), (True, page_text._two(reversed(own)))):
+                edges += [dict(zip(("part", "last", "place", "host", "path", "content", "wanted", "lines"), (p, last, k, *r))) for k, r in enumerate(found)]
+        got = []
+        for p, (head, tail) in page_text._carried(edges).items():
+            own = [r for r, q in zip(rows, parts) if q == p]
+            got += [(p, r, o and o[:3]) for r, o in list(zip(own, page_text._others([*head, *own, *tail])[len(head) :]))]
+        want = [(p, r, o and o[:3]) for p, r, o in zip(parts, rows, page_text._others(rows))]
+        assert sorted(got, key=str) == sorted(want, key=str)
+
+
 def linked(rows):
     def shingle(t):
         w = re.findall(r"[^\x20\x09-\x0D]+", low(t or ""))
