@@ -1,12 +1,13 @@
 """A training-corpus pipeline: language ID, near-duplicates, benchmark decontamination, personal data, source mix.
 
 Each stage takes (spark, docs, sf_dir) and returns the documents it keeps, with the columns of ``documents``; the last one returns
-them with the number of copies the mix takes.  Between stages the documents are written as Parquet and read again.
+those in the mix, with their text and the number of copies it takes.  Between stages the documents are written as Parquet and read again.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from regionframe.llm.common import materialise, table
 from regionframe.llm.decontaminate import decontaminate
@@ -37,8 +38,12 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies, taken of every document; the mix holds ``copies`` of each."""
-    return pareto_mix(docs).select("doc_id", "source", "size", "source_size", "target", "copies", "taken")
+    """doc_id, text, source, size, source_size, target, copies, taken of the documents in the mix, which holds ``copies`` (1 or more) of each."""
+    taken = pareto_mix(docs).where("copies > 0")
+    # Rows that agree in id, source and digest have one text between them.
+    texts = docs.select(F.col("doc_id").alias("t_id"), F.col("source").alias("t_source"), F.coalesce(F.md5("text"), F.lit("")).alias("t_digest"), "text").dropDuplicates(["t_id", "t_source", "t_digest"])
+    same = F.col("doc_id").eqNullSafe(F.col("t_id")) & F.col("source").eqNullSafe(F.col("t_source")) & (F.col("digest") == F.col("t_digest"))
+    return taken.join(texts, same).select("doc_id", "text", "source", "size", "source_size", "target", "copies", "taken")
 
 
 STAGES = [("language", language), ("near_duplicates", near_duplicates), ("decontamination", decontamination), ("personal_data", personal_data), ("mix", mix)]

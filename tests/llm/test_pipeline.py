@@ -1,6 +1,9 @@
 """The stages one after the other keep what they should."""
 
+import hashlib
+
 import corpus_pipeline
+from regionframe.llm.pareto_mix import pareto_mix
 
 
 def test_run(spark):
@@ -16,3 +19,15 @@ def test_run(spark):
         assert 0 < rows <= before
         docs, before = after, rows
     assert corpus_pipeline.run(spark, data).count() == before
+
+
+def test_mix_returns_the_documents_it_takes(spark):
+    rows = [(k, f"word{k} " * (k % 7 + 1), "xx", f"s{k % 4}", 1) for k in range(80)] + [(None, "no id", "xx", None, 1), (90, None, "xx", "s1", 0)]
+    rows += [rows[5], rows[5], (5, "other text", "xx", "s1", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    every = [r for r in pareto_mix(docs).collect() if r.copies > 0]
+    got = corpus_pipeline.mix(spark, docs, "").collect()
+    assert 0 < len(every) < len(rows)
+    texts = {(r[0], hashlib.md5(r[1].encode()).hexdigest() if r[1] is not None else ""): r[1] for r in rows}
+    key = lambda *x: tuple(map(repr, x))
+    assert sorted(key(r.doc_id, r.text, r.source, r.copies) for r in got) == sorted(key(r.doc_id, texts[r.doc_id, r.digest], r.source, r.copies) for r in every)
