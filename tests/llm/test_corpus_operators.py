@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from regionframe.llm import chat_preferences, decontaminate, hnsw, langid, masked_lm, minhash_dedup, page_text, pareto_mix, pii_surrogates, suffix_dedup
 from regionframe.llm.column_bwt import suffixes
+from regionframe.llm.common import Scratch
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 #: Names that operators use inside; they must not clash.
@@ -295,9 +296,30 @@ def test_near_duplicates(spark, corpus):
     assert minhash_dedup.near_duplicates(documents(spark, [])).count() == 0
 
 
+def test_shared_passages_make_no_candidates(spark):
+    rng = random.Random(3)
+    words = [a + b + c for a in "ba ke lo mi nu".split() for b in "dra fen gor his jul".split() for c in "kat lem nip".split()]
+    passage = prose(rng, 60, words)
+    rows = [(k, f"{prose(rng, 20, words)} {passage} {prose(rng, 20, words)}", "", "", 0) for k in range(300)]
+    near = rows[4][1].split()
+    rows += [(500, " ".join([*near[:-1], "other"]), "", "", 0)]
+    docs = documents(spark, rows).select(F.col("doc_id").alias("doc"), "text")
+    members = docs.select(F.col("doc").alias("rep"), F.col("doc").alias("comp"))
+    pairs = [tuple(r) for r in minhash_dedup._rare_pairs(members, docs, Scratch(spark)).collect()]
+    assert (4, 500) in pairs and len(pairs) < 30
+    out = {r.doc_id: r.component_id for r in minhash_dedup.near_duplicates(documents(spark, rows)).collect()}
+    assert out == {k: k for k in range(300)} | {500: 4}
+
+
+def test_rows_that_repeat_an_id_leave_one(spark):
+    rows = [(1, "a b c d e f", "", "", 0), (1, "a b c d e f", "", "", 0), (1, "other words stand here now", "", "", 0), (2, None, "", "", 0), (2, None, "", "", 0), (None, "x", "", "", 0), (None, "x", "", "", 0)]
+    got = minhash_dedup.distinct_documents(documents(spark, rows)).collect()
+    assert sorted((r.doc_id for r in got), key=str) == [1, 2, None, None]
+
+
 def test_components(spark):
     chain = [(k, k + 1) for k in range(40)] + [(100, 101), (103, 101), (103, 102)]
-    got = {r.node: r.component for r in minhash_dedup.components(spark.createDataFrame(chain, "a long, b long")).collect()}
+    got = {r.node: r.component for r in minhash_dedup.components(spark.createDataFrame(chain, "a long, b long"), Scratch(spark)).collect()}
     assert got == {k: 0 for k in range(41)} | {k: 100 for k in range(100, 104)}
 
 
