@@ -13,10 +13,12 @@ of the same rule from documents that fit into the gap; the last round also takes
 target if that comes nearer.
 
 No source is ever gathered in one task: ranks fall into 65536 bins whose sums give the bin in which the cut
-lies, and only the documents of that bin are sorted.
+lies, and only the documents of that bin are sorted.  What a round takes is then a predicate on rank and cut, so
+documents are not joined with what was taken; the cuts, one row a source and round, are sent along if there are at most SOURCES_BROADCAST.
+Rows that agree in id, source and text are counted in one row, of which a cut may take a part.
 
 Defined cases: null text has size 0 and takes 0; null source is a source, the last; an empty table gives an empty
-result; equal ranks go by document id and then by text digest; repeated rows are separate documents; other
+result; equal ranks go by document id and then by text digest; repeated rows are separate documents; a text of any length is measured whole; other
 columns are ignored whatever their names.
 """
 
@@ -27,7 +29,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fits_broadcast, materialise, word_count
+from .common import Scratch, fits_broadcast, word_count
 
 BINS = 65536
 SOURCES_BROADCAST = 100_000
@@ -57,26 +59,74 @@ def source_targets(sizes: DataFrame, weights: Sequence[float], total: float, cap
     return ranked.select("source", "source_size", target.alias("target"))
 
 
-def _round(docs: DataFrame, sources: DataFrame, small: bool, last: bool) -> DataFrame:
-    """One Pareto round: ``docs`` (row, source, size, extra, u) gain copies where they fit the sources' gap."""
-    hint = F.broadcast if small else (lambda x: x)
-    open_ = docs.where("not extra and size > 0").join(hint(sources.where("gap > 0")), F.col("source").eqNullSafe(F.col("s_source"))).where("size <= fits")
+def _same(x: str, y: str) -> Column:
+    return F.col(x).eqNullSafe(F.col(y))
+
+
+def _ranked(docs: DataFrame, goals: DataFrame, hint) -> DataFrame:
+    """``docs`` with their source's goal, rank and bin, and ``left``: how many of the equal rows can still be taken."""
     odds = F.col("u") / (1 - F.col("u")) * (1 - F.col("chance")) / F.col("chance")
-    open_ = open_.withColumn("rank", odds).withColumn("bin", F.floor(odds / (1 + odds) * BINS))
-    bins = open_.groupBy("s_source", "bin", "gap").agg(F.sum("size").alias("words"))
-    upto = Window.partitionBy("s_source").orderBy("bin")
-    bins = bins.withColumn("upto", F.sum("words").over(upto))
+    met = docs.join(hint(goals), _same("source", "s_source"), "left").withColumn("rank", odds).withColumn("bin", F.floor(odds / (1 + odds) * BINS))
+    open_ = F.coalesce((F.col("gap") > 0) & (F.col("size") > 0) & (F.col("size") <= F.col("fits")), F.lit(False))
+    return met.withColumn("left", F.when(open_, F.col("m") - F.col("extra")).otherwise(0))
+
+
+def _cuts(ranked: DataFrame, hint, last: bool) -> DataFrame:
+    """One row a source: what is left before the cut (cut_bin, cut) is taken, and ``part`` of the rows at the cut; without cut_bin all is."""
+    open_ = ranked.where("left > 0")
+    bins = open_.groupBy("s_source", "bin", "gap").agg(F.sum(F.col("size") * F.col("left")).alias("words"))
+    bins = bins.withColumn("upto", F.sum("words").over(Window.partitionBy("s_source").orderBy("bin")))
     cuts = bins.groupBy("s_source").agg(
         F.min(F.when(F.col("upto") >= F.col("gap"), F.struct("bin", (F.col("upto") - F.col("words")).alias("before")))).alias("cut")
     ).select(F.col("s_source").alias("c_source"), F.col("cut.bin").alias("cut_bin"), F.col("cut.before").alias("before"))
-    placed = open_.join(hint(cuts), F.col("s_source").eqNullSafe(F.col("c_source")))
-    whole = placed.where("cut_bin is null or bin < cut_bin").select("row")
-    order = Window.partitionBy("s_source").orderBy("rank", "row")
-    edge = placed.where("bin = cut_bin").withColumn("sum", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)) + F.col("before"))
-    near = F.col("sum") <= F.col("gap")
+    edge = open_.join(hint(cuts), _same("source", "c_source")).where("bin = cut_bin").withColumn("at", F.struct("rank", "id", "digest"))
+    words = F.col("size") * F.col("left")
+    edge = edge.withColumn("start", F.sum(words).over(Window.partitionBy("s_source").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)) - words + F.col("before"))
+    part = F.least(F.col("left"), F.greatest(F.floor((F.col("gap") - F.col("start")) / F.col("size")), F.lit(0)).cast("long"))
+    edge = edge.withColumn("part", part)
     if last:
-        near = near | ((F.col("sum") - F.col("size") < F.col("gap")) & (F.col("sum") - F.col("gap") < F.col("gap") - F.col("sum") + F.col("size")))
-    return whole.unionByName(edge.where(near).select("row"))
+        upto = F.col("start") + F.col("part") * F.col("size")
+        nearer = (F.col("part") < F.col("left")) & (upto < F.col("gap")) & (upto + F.col("size") - F.col("gap") < F.col("gap") - upto)
+        edge = edge.withColumn("part", F.col("part") + nearer.cast("long"))
+    ends = edge.where("part > 0").groupBy("s_source").agg(F.max(F.struct("at", "part")).alias("end")).select(F.col("s_source").alias("e_source"), F.col("end.at").alias("cut"), F.col("end.part").alias("part"))
+    return cuts.join(ends, _same("c_source", "e_source"), "left").select("c_source", "cut_bin", "cut", "part")
+
+
+def _take(ranked: DataFrame, cuts: DataFrame, hint) -> DataFrame:
+    at = F.struct("rank", "id", "digest")
+    whole = F.col("cut_bin").isNull() | (F.col("bin") < F.col("cut_bin")) | ((F.col("bin") == F.col("cut_bin")) & F.col("cut").isNotNull() & (at < F.col("cut")))
+    edge = (F.col("bin") == F.col("cut_bin")) & F.col("cut").isNotNull() & (at == F.col("cut"))
+    now = F.when(F.col("left") == 0, 0).when(F.coalesce(whole, F.lit(False)), F.col("left")).when(F.coalesce(edge, F.lit(False)), F.col("part")).otherwise(0)
+    out = ranked.join(hint(cuts), _same("source", "c_source"), "left").withColumn("extra", F.col("extra") + now)
+    return out.select("id", "source", "size", "digest", "u", "m", "extra")
+
+
+def _decided(
+    docs: DataFrame, id_col: str, text_col: str, source_col: str, weights: Sequence[float], total: float, cap: float, seed: str, rounds: int
+) -> DataFrame:
+    """One row for all rows that agree in id, source and digest: their number ``m``, ``certain`` copies of each, ``extra`` for some of them."""
+    scratch = Scratch(docs.sparkSession)
+    text = F.col(text_col)
+    base = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(text).alias("size"), F.coalesce(F.md5(text), F.lit("")).alias("digest"))
+    base = base.groupBy("id", "source", "size", "digest").agg(F.count("*").alias("m"))
+    base = scratch.write(base.withColumn("u", uniform(seed, F.col("id"), F.col("digest"))), "mix-sizes")
+    targets = scratch.write(source_targets(base.select("source", (F.col("size") * F.col("m")).alias("size")), weights, total, cap), "mix-targets")
+    small = fits_broadcast(targets, SOURCES_BROADCAST)
+    hint = F.broadcast if small else (lambda x: x)
+    ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
+    targets = targets.withColumn("certain", F.floor(ratio).cast("long")).withColumn("chance", ratio - F.floor(ratio)).withColumnRenamed("source", "s_source")
+    state = base.withColumn("extra", F.lit(0).cast("long"))
+    for n in range(rounds):
+        got = state.where("extra > 0").groupBy("source").agg(F.sum(F.col("size") * F.col("extra")).alias("got")).withColumnRenamed("source", "g_source")
+        gap = F.col("target") - F.col("certain") * F.col("source_size") - F.coalesce(F.col("got"), F.lit(0))
+        goals = targets.join(got, _same("s_source", "g_source"), "left").select("s_source", "chance", gap.alias("gap"), (gap * (2 if n == rounds - 1 else 1)).alias("fits")).where("chance > 0")
+        goals = scratch.write(goals, f"mix-goals-{n}")
+        ranked = _ranked(state, goals, hint)
+        state = _take(ranked, scratch.write(_cuts(ranked, hint, n == rounds - 1), f"mix-cuts-{n}"), hint)
+    out = state.join(hint(targets), _same("source", "s_source")).select("id", "source", "size", "digest", "m", "extra", "certain", F.col("source_size").cast("long").alias("source_size"), "target")
+    out = scratch.write(out, "mix-decided")
+    scratch.close("mix-decided")
+    return out
 
 
 def pareto_mix(
@@ -92,30 +142,20 @@ def pareto_mix(
     rounds: int = 4,
 ) -> DataFrame:
     """One row per document: id, source, size, source_size, target (its source's words), copies, taken."""
-    text = F.col(text_col)
-    digest = F.coalesce(F.md5(text), F.lit(""))
-    base = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(text).alias("size"), digest.alias("digest"))
-    base = materialise(base.withColumn("u", uniform(seed, F.col("id"), F.col("digest"))), "mix-sizes")
-    targets = materialise(source_targets(base, weights, total, cap), "mix-targets")
-    small = fits_broadcast(targets, SOURCES_BROADCAST)
-    hint = F.broadcast if small else (lambda x: x)
-    ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    targets = targets.withColumn("certain", F.floor(ratio).cast("long")).withColumn("chance", ratio - F.floor(ratio))
-    targets = targets.withColumnRenamed("source", "s_source")
-    # Rows that agree in all that decides are counted apart, so that each has a key of its own.
-    same = Window.partitionBy("id", "digest", "source").orderBy("u")
-    base = base.withColumn("row", F.struct("id", "digest", "source", F.row_number().over(same).alias("nth")))
-    state = base.select("row", "source", "size", "u").withColumn("extra", F.lit(False))
-    for n in range(rounds):
-        got = state.where("extra").groupBy("source").agg(F.sum("size").alias("got")).withColumnRenamed("source", "g_source")
-        goal = targets.join(got, F.col("s_source").eqNullSafe(F.col("g_source")), "left")
-        gap = F.col("target") - F.col("certain") * F.col("source_size") - F.coalesce(F.col("got"), F.lit(0))
-        goal = goal.select("s_source", "chance", gap.alias("gap"), (gap * (2 if n == rounds - 1 else 1)).alias("fits")).where("chance > 0")
-        taken = _round(state, goal, small, n == rounds - 1).withColumn("now", F.lit(True)).withColumnRenamed("row", "t_row")
-        state = state.join(taken, F.col("row") == F.col("t_row"), "left")
-        state = materialise(state.select("row", "source", "size", "u", (F.col("extra") | F.coalesce("now", F.lit(False))).alias("extra")), "mix-round")
-    out = state.join(hint(targets), F.col("source").eqNullSafe(F.col("s_source")))
-    copies = F.col("certain") + F.col("extra").cast("long")
-    return out.select(
-        F.col("row.id").alias(id_col), "source", "size", F.col("source_size").cast("long").alias("source_size"), "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"), F.col("row.digest").alias("digest")
-    )
+    out = _decided(docs, id_col, text_col, source_col, weights, total, cap, seed, rounds)
+    out = out.withColumn("nth", F.explode(F.sequence(F.lit(1).cast("long"), "m")))
+    copies = F.col("certain") + (F.col("nth") <= F.col("extra")).cast("long")
+    return out.select(F.col("id").alias(id_col), "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"), "digest")
+
+
+def mixed(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+    """The documents that the mix takes, one row each: id, text, source, size, source_size, target, copies (1 or more), taken."""
+    settings = {"weights": (3, 1, 2), "total": 1.5, "cap": 2.0, "seed": "mix", "rounds": 4} | options
+    decided = _decided(docs, id_col, text_col, source_col, **settings).where("certain > 0 or extra > 0")
+    texts = docs.select(F.col(id_col).alias("t_id"), F.col(source_col).alias("t_source"), F.col(text_col).alias("text"), F.coalesce(F.md5(F.col(text_col)), F.lit("")).alias("t_digest"))
+    met = texts.join(decided, _same("t_id", "id") & _same("t_source", "source") & (F.col("t_digest") == F.col("digest")))
+    # Equal rows are one row of ``decided``: their text is taken once and comes back as often.
+    some = met.where("m > 1").dropDuplicates(["id", "source", "digest"])
+    out = met.where("m = 1").unionByName(some).withColumn("nth", F.explode(F.sequence(F.lit(1).cast("long"), "m")))
+    copies = F.col("certain") + (F.col("nth") <= F.col("extra")).cast("long")
+    return out.select(F.col("id").alias(id_col), "text", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken")).where("copies > 0")
