@@ -15,7 +15,7 @@ from .minhash_dedup import near_duplicates
 from .oracles import ORACLES
 from .page_text import main_text
 from .pareto_mix import pareto_mix
-from .pii_surrogates import replace_entities
+from .pii_surrogates import replace_entities, surrogate_key
 from .suffix_dedup import removed_repeats
 
 
@@ -32,7 +32,7 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return replace_entities(table(spark, sf_dir, "documents"), count_col="n_entities").select("doc_id", "text", "n_entities")
+    return replace_entities(table(spark, sf_dir, "documents"), key=surrogate_key(spark), count_col="n_entities").select("doc_id", "text", "n_entities")
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
