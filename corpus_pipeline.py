@@ -2,19 +2,22 @@
 
 Each stage takes (spark, docs, sf_dir) and returns the documents it keeps, with the columns of ``documents``; the last one returns
 those in the mix, with their text and the number of copies it takes.  Between stages the documents are written as Parquet and read again.
+
+Defined cases, in every stage: a null, empty or letterless text is rejected by the first; texts of any length are taken whole; of rows that repeat an id one
+stays after the second, rows with a null id are never near-duplicates; an empty table gives empty results; columns beside those of ``documents``
+are passed through up to the mix, whatever their names.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from regionframe.llm.common import materialise, table
+from regionframe.llm.common import Scratch, table
 from regionframe.llm.decontaminate import decontaminate
 from regionframe.llm.langid import identified
 from regionframe.llm.minhash_dedup import distinct_documents
-from regionframe.llm.pareto_mix import pareto_mix
-from regionframe.llm.pii_surrogates import replace_entities
+from regionframe.llm.pareto_mix import mixed
+from regionframe.llm.pii_surrogates import replace_entities, surrogate_key
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,28 +37,24 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with surrogates for personal data."""
-    return replace_entities(docs)
+    return replace_entities(docs, key=surrogate_key(spark))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, text, source, size, source_size, target, copies, taken of the documents in the mix, which holds ``copies`` (1 or more) of each."""
-    taken = pareto_mix(docs).where("copies > 0")
-    # Rows that agree in id, source and digest have one text between them.
-    texts = docs.select(F.col("doc_id").alias("t_id"), F.col("source").alias("t_source"), F.coalesce(F.md5("text"), F.lit("")).alias("t_digest"), "text").dropDuplicates(["t_id", "t_source", "t_digest"])
-    same = F.col("doc_id").eqNullSafe(F.col("t_id")) & F.col("source").eqNullSafe(F.col("t_source")) & (F.col("digest") == F.col("t_digest"))
-    return taken.join(texts, same).select("doc_id", "text", "source", "size", "source_size", "target", "copies", "taken")
+    return mixed(docs)
 
 
 STAGES = [("language", language), ("near_duplicates", near_duplicates), ("decontamination", decontamination), ("personal_data", personal_data), ("mix", mix)]
 
-#: A trained model decides the first stage: no SQL. Tests hold the stages against brute-force versions.
+#: A trained model decides the first stage: no SQL.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for k, (name, stage) in enumerate(STAGES):
+    docs, tables = table(spark, sf_dir, "documents"), Scratch(spark)
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            docs = materialise(docs, f"stage-{name}")
+            docs = tables.write(docs, "stage")  # the table of the stage before goes once this one is written
     return docs

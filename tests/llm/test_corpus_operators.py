@@ -109,7 +109,7 @@ def test_surrogates(spark):
         (1, "mail Ann.Lee@corp.com or +1 (499) 555-6503, card 4539578763621486.", "", "", 0), (2, "call +1 499 555 6503; ip 10.20.30.40; ann.lee@corp.com", "", "", 0),
         (3, 'token = "254a3ed195c502ef96b5857aa82e5fbcfb6b6856" Mr. John Smith met Mrs. Mary Jones', "", "", 0), (4, None, "", "", 0), (5, "", "", "", 0), (6, "clean words only", "", "", 0), (1, "mail Ann.Lee@corp.com or +1 (499) 555-6503, card 4539578763621486.", "", "", 0),
     ]
-    out = pii_surrogates.replace_entities(documents(spark, rows, True), count_col="found")
+    out = pii_surrogates.replace_entities(documents(spark, rows, True), key="test", count_col="found")
     got = {r.doc_id: r for r in out.collect()}
     assert out.count() == 7 and got[4].text is None and got[6].text == "clean words only" and got[1].found == 3 and got[3].found == 3
     one = re.fullmatch(r"mail (\S+@\S+) or (\+1 \(\d{3}\) \d{3}-\d{4}), card (\d{16})\.", got[1].text)
@@ -120,13 +120,33 @@ def test_surrogates(spark):
     assert luhn("4539578763621486") == 0 == luhn(one[3]) and one[3] != "4539578763621486"
     three = re.fullmatch(r'token = "([0-9a-f]{40})" Mr\. (\w+) (\w+) met Mrs\. (\w+) (\w+)', got[3].text)
     assert three and three[2] in pii_surrogates.GIVEN["latin", "m"] and three[4] in pii_surrogates.GIVEN["latin", "f"]
-    assert pii_surrogates.replace_entities(documents(spark, [])).count() == 0
+    assert pii_surrogates.replace_entities(documents(spark, []), key="test").count() == 0
     # Distinct in a tiny space: 90 addresses of one shape that can clash often.
     many = [(k, f"at 7.7.7.{k}", "", "", 0) for k in range(10, 100)]
-    seen = [r.text for r in pii_surrogates.replace_entities(documents(spark, many)).collect()]
+    seen = [r.text for r in pii_surrogates.replace_entities(documents(spark, many), key="test").collect()]
     assert len(set(seen)) == 90 and not set(seen) & {r[1] for r in many}
 
 
+def test_surrogates_never_run_out(spark):
+    # 5000 of the 6561 addresses of single digits, and more one-word names than four syllables make.
+    text = F.concat(F.lit("at "), F.array_join(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: (F.floor(F.col("id") / F.pow(F.lit(9), i)) % 9 + 1).cast("long").cast("string")), "."))
+    name = F.concat(F.lit("Mr. Q"), F.translate(F.col("id").cast("string"), "0123456789", "abcdefghij"))
+    rows = spark.range(5000).select(F.col("id").alias("doc_id"), text.alias("text")).unionByName(spark.range(5000, 85000).select(F.col("id").alias("doc_id"), name.alias("text")))
+    out = pii_surrogates.replace_entities(rows, key="test").toPandas()
+    before = set(rows.toPandas()["text"])
+    assert out["text"].nunique() == 85000 and not set(out["text"]) & before
+
+
+def test_a_family_name_alone_is_the_same_person(spark):
+    rows = [(1, "Mr. John Smith spoke.", "", "", 0), (2, "then Mr. Smith left with Mrs. Smith and Dr. John Brown", "", "", 0), (3, "x " * 200_000 + "Mr. Smith", "", "", 0)]
+    got = {r.doc_id: r.text for r in pii_surrogates.replace_entities(documents(spark, rows), key="test").collect()}
+    given, family = re.fullmatch(r"Mr\. (\w+) (\w+) spoke\.", got[1]).groups()
+    other = re.fullmatch(r"then Mr\. (\w+) left with Mrs\. (\w+) and Dr\. (\w+) (\w+)", got[2]).groups()
+    assert other[0] == other[1] == family and other[2] == given and other[3] not in (family, "Brown") and got[3] == "x " * 200_000 + f"Mr. {family}"
+    again = {r.doc_id: r.text for r in pii_surrogates.replace_entities(documents(spark, rows), key="another").collect()}
+    assert again[1] != got[1]
+
+
 def hits(text, items):
     find = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+").findall
     w = find(low(text or ""))
@@ -142,24 +162,35 @@ def hits(text, items):
     return len(w), len(covered), len(ids), hashlib.sha256(",".join(sorted(ids)).encode()).hexdigest(), bool(covered) and 20 * len(covered) >= len(w), covered
 
 
-@pytest.mark.parametrize("bound", [decontaminate.SET_BOUND, 3])
-def test_decontamination(spark, corpus, bound):
+@pytest.mark.parametrize("heads", [decontaminate.HEADS, 20])
+def test_decontamination(spark, corpus, heads):
     rng = random.Random(9)
-    items = [(10, prose(rng, 30, WORDS)), (9, prose(rng, 13, WORDS)), (2, "Short ITEM é"), (3, None), (4, "!!"), (5, "solo")]
+    items = [(10, prose(rng, 30, WORDS)), (11, prose(rng, 4, WORDS)), (9, prose(rng, 13, WORDS)), (2, "Short ITEM é"), (3, None), (4, "!!"), (5, "solo")]
     rows = list(corpus) + [(200, f"x {items[0][1].upper()} y", "", "", 0), (201, "a short\nitem, É short item é; solo", "", "", 0), (202, prose(rng, 300, WORDS) + " " + items[1][1], "", "", 0)]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    out = decontaminate.contamination(documents(spark, rows, True), bench, bound=bound).collect()
+    out = decontaminate.contamination(documents(spark, rows, True), bench, heads=heads).collect()
     assert len(out) == len(rows)
     want = sorted(((r[0], *hits(r[1], items)[:5]) for r in rows), key=str)
     assert sorted(((r.doc_id, r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in out), key=str) == want
-    kept = decontaminate.decontaminate(documents(spark, rows, True), bench, bound=bound)
+    kept = decontaminate.decontaminate(documents(spark, rows, True), bench, heads=heads)
     assert set(CLASH) < set(kept.columns) and kept.count() == sum(not x[5] for x in want)
-    cut = {r.doc_id: r.text for r in decontaminate.decontaminate(documents(spark, rows), bench, remove="spans", bound=bound).collect()}
+    cut = {r.doc_id: r.text for r in decontaminate.decontaminate(documents(spark, rows), bench, remove="spans", heads=heads).collect()}
     assert cut[200] == "x  y" and cut[85] == "é " * 3000
     assert decontaminate.contamination(documents(spark, []), bench).count() == 0
     assert decontaminate.contamination(documents(spark, rows), bench.limit(0)).where("n_hit > 0").count() == 0
 
 
+def test_a_large_benchmark_and_a_long_text(spark):
+    rng = random.Random(6)
+    words = [f"{a}{b}" for a in "abcdefghij" for b in range(100)]
+    items = [(k, " ".join(rng.choice(words) for _ in range(412))) for k in range(500)]  # 200 000 windows
+    long = prose(rng, 20_000, words)
+    rows = [(k, f"{prose(rng, 30, words)} {' '.join(items[k][1].split()[40:60])}", "", "", 0) for k in range(20)] + [(50, f"{long} {' '.join(items[7][1].split()[:255])} {items[9][1]}", "", "", 0), (51, long, "", "", 0)]
+    out = {r.doc_id: r for r in decontaminate.contamination(documents(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert all((out[k].n_hit, out[k].n_items) == (20, 1) for k in range(20))
+    assert (out[50].n_words, out[50].n_hit, out[50].n_items, out[51].n_hit) == (20_667, 667, 2, 0)
+
+
 def test_nearest(spark):
     rng = np.random.default_rng(4)
     v = rng.standard_normal((1200, 16))
