@@ -1,9 +1,12 @@
 """Approximate nearest neighbours: one hierarchical navigable small-world graph per shard, shard results merged.
 
-Distinct vectors are dealt to shards of about SHARD by a hash.  A shard's graph is built in numpy: nodes enter in batches whose beam searches run in
+Distinct vectors are dealt by a hash to shards of about SHARD_BYTES (16 384 vectors of 64 dimensions), which bounds a task's memory.  A shard's graph is built in numpy: nodes enter in batches whose beam searches run in
 lockstep, and every layer is one flat neighbour array (nodes x degree, -1 padded).  The graphs are written as a table of
 binary columns; a search joins graphs and blocks of queries by shard, scores what the beams find in double precision on the original vectors, and the best of all shards are ranked.
 
+Every query asks every shard, as the method says, so the work is queries times shards: a larger SHARD_BYTES, as large as executors allow, lowers it.  A
+shard's index travels once for BLOCK queries.
+
 Equal vectors are indexed once, with the smallest ids that can be among the answers: a vector that a third of the rows repeat neither
 fills a shard nor breaks the order of ties.
 
@@ -22,7 +25,8 @@ from pyspark.sql import functions as F
 
 from .common import materialise
 
-SHARD, DEGREE, BUILD_BEAM, SEARCH_BEAM, BATCH, BLOCK = 8192, 16, 64, 128, 128, 8192
+SHARD_BYTES = 8 << 20  # of a shard's vectors in double precision
+DEGREE, BUILD_BEAM, WAY_BEAM, SEARCH_BEAM, BATCH, BLOCK = 16, 64, 16, 128, 128, 32768
 
 
 class Graph:
@@ -49,14 +53,14 @@ class Graph:
         q = self.unit[nodes]
         peers = q @ q.T
         np.fill_diagonal(peers, -9)
-        start = np.full(len(nodes), self.entry)
+        start = np.full((len(nodes), 1), self.entry)
         for layer in range(len(self.layers) - 1, -1, -1):
             on = self.level[nodes] >= layer
             old = present[self.level[present] >= layer]
             ids, sims = np.full((len(nodes), 1), -1), np.full((len(nodes), 1), -9.0, np.float32)
             if len(old):
-                ids, sims = self._beam(q, start, layer, BUILD_BEAM if on.any() else 1)
-                start = ids[:, 0]
+                ids, sims = self._beam(q, start, layer, BUILD_BEAM if on.any() else WAY_BEAM)
+                start = ids[:, :WAY_BEAM]
             if not on.any():
                 continue
             rows = np.flatnonzero(on)
@@ -71,32 +75,60 @@ class Graph:
             self._link(graph, np.concatenate([a, b]), np.concatenate([b, a]))
 
     def _link(self, graph: np.ndarray, source: np.ndarray, target: np.ndarray) -> None:
-        """Add edges; a full node keeps its nearest neighbours."""
+        """Add edges; a full node keeps diverse neighbours first.
+
+        From near to far, a neighbour is kept if it is nearer to the node than to any neighbour kept so far, so that edges lead out of
+        a tight cluster; places that stay free go to the nearest of the others.
+        """
         touched = np.unique(source)
         held = graph[touched]
-        s = np.concatenate([np.repeat(touched, held.shape[1]), source])
+        width = held.shape[1]
+        s = np.concatenate([np.repeat(touched, width), source])
         t = np.concatenate([held.ravel(), target])
         s, t = s[t >= 0], t[t >= 0]
         both = np.unique(s.astype(np.int64) * len(self.unit) + t)
         s, t = both // len(self.unit), both % len(self.unit)
         sim = np.einsum("ij,ij->i", self.unit[s], self.unit[t])
         by = np.lexsort((t, -sim, s))
-        s, t = s[by], t[by]
+        s, t, sim = s[by], t[by], sim[by]
         first = np.searchsorted(s, s, "left")
         rank = np.arange(len(s)) - first
-        keep = rank < graph.shape[1]
         graph[touched] = -1
-        graph[s[keep], rank[keep]] = t[keep]
+        size = np.diff(np.append(np.flatnonzero(rank == 0), len(s)))
+        row = np.repeat(np.arange(len(size)), size)
+        roomy = size[row] <= width
+        graph[s[roomy], rank[roomy]] = t[roomy]
+        full = np.flatnonzero(size > width)
+        most = 2 * width  # candidates beyond twice the room are farther than that many others
+        for lo in range(0, len(full), 256):
+            part = full[lo : lo + 256]
+            number = np.full(len(size), -1)
+            number[part] = np.arange(len(part))
+            mine = (number[row] >= 0) & (rank < most)
+            ids, near = np.full((len(part), most), -1), np.full((len(part), most), -9.0, np.float32)
+            ids[number[row[mine]], rank[mine]], near[number[row[mine]], rank[mine]] = t[mine], sim[mine]
+            v = self.unit[np.maximum(ids, 0)]
+            among = v @ v.transpose(0, 2, 1)
+            kept = np.zeros(ids.shape, bool)
+            for k in range(most):
+                blocked = (kept[:, :k] & (among[:, k, :k] > near[:, k, None])).any(1)
+                kept[:, k] = (ids[:, k] >= 0) & ~blocked & (kept[:, :k].sum(1) < width)
+            order = np.argsort(np.where(kept, 0, np.where(ids >= 0, 1, 2)), 1, kind="stable")[:, :width]
+            graph[touched[part]] = np.take_along_axis(ids, order, 1)
 
     def _beam(self, q: np.ndarray, start: np.ndarray, layer: int, width: int) -> tuple[np.ndarray, np.ndarray]:
-        """Best ``width`` nodes of each query (ids, similarities), -1 padded; all beams step together."""
+        """Best ``width`` nodes of each query (ids, similarities), -1 padded, from its ``start`` nodes; all beams step together."""
         graph, n = self.layers[layer], len(q)
         ids = np.full((n, width), -1, np.int64)
         sims = np.full((n, width), -9, np.float32)
         done = np.ones((n, width), bool)
-        ids[:, 0], sims[:, 0], done[:, 0] = start, np.einsum("ij,ij->i", q, self.unit[start]), False
+        start = start[:, :width]
+        some = start.shape[1]
+        ids[:, :some], done[:, :some] = start, start < 0
+        sims[:, :some] = np.where(start >= 0, np.einsum("ij,ikj->ik", q, self.unit[np.maximum(start, 0)]), -9)
         seen = np.zeros((n, len(self.unit)), bool)
-        seen[np.arange(n), start] = True
+        r, c = np.nonzero(start >= 0)
+        seen[r, start[r, c]] = True
         active = np.arange(n)
         step = 1 if width == 1 else 3
         while len(active):
@@ -138,9 +170,9 @@ class Graph:
         out = []
         for lo in range(0, len(q), BATCH):
             part = q[lo : lo + BATCH].astype(np.float32)
-            start = np.full(len(part), self.entry)
+            start = np.full((len(part), 1), self.entry)
             for layer in range(len(self.layers) - 1, 0, -1):
-                start = self._beam(part, start, layer, 1)[0][:, 0]
+                start = self._beam(part, start, layer, WAY_BEAM)[0]
             out.append(self._beam(part, start, 0, max(width, k))[0][:, :k])
         return np.concatenate(out) if out else np.zeros((0, k), np.int64)
 
@@ -193,7 +225,7 @@ def _searcher(k: int):
     return search
 
 
-def nearest(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", every: int = 50, k: int = 5, shard: int = SHARD) -> DataFrame:
+def nearest(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", every: int = 50, k: int = 5, shard: int | None = None) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each row whose id is divisible by ``every``."""
     v = F.col(vector_col).cast("array<double>")
     base = vectors.select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v")).where("vec_id is not null and v is not null and size(v) > 0")
@@ -204,7 +236,7 @@ def nearest(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "em
     few = base.select("vec_id", "v", "same", F.dense_rank().over(first).alias("place")).where(F.col("place") <= k + 1)
     distinct = few.groupBy("same", "v").agg(F.array_sort(F.collect_set("vec_id")).alias("ids")).withColumn("dim", F.size("v"))
     distinct = materialise(distinct, "ann-vectors")
-    dims = distinct.groupBy("dim").agg(F.ceil(F.count("*") / shard).cast("long").alias("shards"))
+    dims = distinct.groupBy("dim").agg(F.ceil(F.count("*") / (F.lit(shard) if shard else F.greatest(F.floor(F.lit(SHARD_BYTES) / (8 * F.col("dim"))), F.lit(1)))).cast("long").alias("shards"))
     dealt = distinct.join(F.broadcast(dims), "dim") if dims.count() <= 10_000 else distinct.join(dims, "dim")
     dealt = dealt.select("dim", F.pmod(F.xxhash64("same", F.lit(1)), F.col("shards")).alias("shard"), "v", "ids")
     index = dealt.groupBy("dim", "shard").applyInArrow(_index, "dim int, shard long, width int, entry long, ids binary, real binary, vectors binary, layers array<binary>")
