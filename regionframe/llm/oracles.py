@@ -1,6 +1,6 @@
 """DuckDB SQL for the corpus operators that SQL can express, written plainly: every pair, every window, every running sum.
 
-The trained operators (2, 3, 6, 7), the surrogates (4) and the byte strings (9) have none; tests hold them against brute force.
+The page texts (2), the trained operators (3, 7), graph search (6), the surrogates (4) and the byte strings (9) have none; their tests are in tests/llm.
 """
 
 from __future__ import annotations
@@ -28,8 +28,14 @@ def _preferences() -> str:
             from turns join prefix using (pair_id) where {which}
         ) group by pair_id"""
     return f"""
-    with raw as (
-        select conv_id // 2 as pair_id, conv_id % 2 = 0 as side, conv_id as conv, turn, coalesce(role, 'unknown') as role, coalesce(text, '') as text from conversations
+    with openings as (
+        select conv_id, min({{'t': coalesce(turn, 9223372036854775807), 'r': coalesce(role, 'unknown'), 'x': coalesce(text, '')}}) as f from conversations where conv_id is not null group by conv_id
+    ), halves as (
+        select conv_id, f.r as r, f.x as x, (row_number() over (partition by f.r, f.x order by conv_id) - 1) // 2 as half from openings
+    ), pairs as (
+        select conv_id, min(conv_id) over (partition by r, x, half) as pair_id from halves
+    ), raw as (
+        select pair_id, coalesce(c.conv_id = pair_id, true) as side, c.conv_id as conv, turn, coalesce(role, 'unknown') as role, coalesce(text, '') as text from conversations c left join pairs p on p.conv_id = c.conv_id
     ), turns as (
         select *, '<|' || role || '|>' || chr(10) as head, length(text) as size, '<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10) as shown,
             row_number() over (partition by pair_id, side order by turn nulls last, role, text) as i

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .chat_preferences import adjacent_pairs, format_preferences
+from .chat_preferences import opening_preferences
 from .common import table
 from .decontaminate import contamination
 from .hnsw import nearest
@@ -20,7 +20,7 @@ from .suffix_dedup import removed_repeats
 
 
 def op1_chat_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return format_preferences(table(spark, sf_dir, "conversations"), *adjacent_pairs())
+    return opening_preferences(table(spark, sf_dir, "conversations"))
 
 
 def op2_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
