@@ -2,8 +2,8 @@
 
 A text is the bag of its byte 1- to 4-grams (ASCII letters lower-cased, other ASCII and white space as one blank), each hashed to a row of
 an embedding table.  The mean of the rows goes through a linear layer and a softmax.  Both layers are trained in numpy by
-stochastic gradient descent, on at most about ``2 * per_lang`` whole labelled texts of each language, drawn by a hash of the id
-(a documented bound; nothing else is sampled).  Since mean and linear layer commute, prediction
+stochastic gradient descent, on at most about ``2 * per_lang`` labelled texts of each language, drawn by a hash of the id, and at most
+``longest`` characters of each (the documented bounds of the fit; every text is predicted whole).  Since mean and linear layer commute, prediction
 needs one table of hashed n-gram to score per language, which is sent with the plan; its size does not depend on the data.
 
 The probability is calibrated by a temperature fitted on texts kept out of training.  A text whose best calibrated probability
@@ -146,14 +146,18 @@ def train(rows: list[tuple[str, str]], *, steps: int = 400, batch: int = 128, ra
 
 
 def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = 500, longest: int = 200_000) -> Model | None:
-    """Train on rows whose crc32(id) mod 3 is not 1: per language about ``per_lang`` (at most twice that, plus chance) texts of up to ``longest`` bytes, picked by a hash of the id."""
+    """Train on rows whose crc32(id) mod 3 is not 1: per language about ``per_lang`` (at most twice that, plus chance) texts, picked by a hash of the id.
+
+    Of a picked text of more than ``longest`` characters a cutting of that length is learned from, at a place that the hash decides.
+    """
     rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(lang_col).cast("string").alias("l")).where(eligible(F.col("i"), F.col("l")))
     counts = {r["l"]: r["count"] for r in rows.groupBy("l").count().collect()}
     pick = F.lit(False)
     if counts:
         every = F.create_map(*[x for lang, n in sorted(counts.items()) for x in (F.lit(lang), F.lit(max(1, n // per_lang)))])
         pick = F.pmod(F.xxhash64(F.coalesce(F.col("i").cast("string"), F.lit(""))), every[F.col("l")]) == 0
-    got = rows.where(pick & F.col("t").isNotNull() & (F.octet_length("t") <= longest)).select("i", "l", "t").collect()
+    start = F.pmod(F.xxhash64("t"), F.greatest(F.length("t") - longest, F.lit(0)) + 1).cast("int") + 1
+    got = rows.where(pick & F.col("t").isNotNull()).select("i", "l", F.substring("t", start, F.lit(longest)).alias("t")).collect()
     return train([(r["l"], r["t"]) for r in sorted(got, key=lambda r: (str(r["i"]), r["l"], r["t"]))])
 
 
