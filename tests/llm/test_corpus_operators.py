@@ -18,6 +18,24 @@ DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 CLASH = ["row", "hits", "key", "id", "doc", "body", "w", "n", "gaps", "a", "b"]
 
 
+def test_conversations_of_one_opening_are_paired(spark):
+    rng = random.Random(11)
+    convs = {k: [("user", rng.choice(["hello", "hello", "what?", f"own {k}"]))] + [(rng.choice(["assistant", "user"]), rng.choice("xyz")) for _ in range(rng.randrange(5))] for k in range(300)}
+    convs[400] = [("user", "hello"), ("assistant", "long " * 50_000)]
+    rows = [(k, i, *t) for k, ts in convs.items() for i, t in enumerate(ts)] + [(None, 0, "user", "hello")]
+    d = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("pair_id", F.lit(9)).withColumn("conv", F.lit(1))
+    groups, want = {}, {None: (None, None, 0)}
+    for k in sorted(convs):
+        groups.setdefault(convs[k][0], []).append(k)
+    for g in groups.values():
+        for a, b in zip(g[::2], [*g[1::2], None]):
+            same = [x == y for x, y in zip(convs[a], convs.get(b, []))]
+            want[a] = (a, b, (same + [False]).index(False))
+    got = {r.pair_id: (r.chosen_id, r.rejected_id, r.n_prefix) for r in chat_preferences.opening_preferences(d).collect()}
+    assert got == want and sum(n > 0 for _, _, n in want.values()) > 50
+    assert chat_preferences.opening_preferences(d.limit(0)).count() == 0
+
+
 def documents(spark, rows, clash=False):
     d = spark.createDataFrame(rows, DOCS)
     return d.withColumns({c: F.lit(1) for c in CLASH}) if clash else d
@@ -292,6 +310,14 @@ def test_carried_rows_are_those_of_the_whole_order():
         assert sorted(got, key=str) == sorted(want, key=str)
 
 
+def test_pages_without_marks_of_a_large_host(spark):
+    body = "<html><body><p>Welcome to the site</p><p><a href=x>Story {0} has its own line</a></p><p>And number {0} a second</p><p>All rights kept</p></body></html>"
+    rows = [(k, f"http://h.c/n/{k}", body.format(k)) for k in range(1500)]
+    d = spark.createDataFrame(rows, "page_id long, url string, html string")
+    out = {r.page_id: r.text for r in page_text.main_text(d).collect()}
+    assert out == {k: f"Story {k} has its own line\n\nAnd number {k} a second" for k in range(1500)}
+
+
 def linked(rows):
     def shingle(t):
         w = re.findall(r"[^\x20\x09-\x0D]+", low(t or ""))
@@ -316,6 +342,18 @@ def linked(rows):
     return {k: find(k) for k in ids}, {k: sorted(len(s) for s in v) for k, v in sets.items()}
 
 
+def test_recall_on_clusters_over_several_shards(spark):
+    rng = np.random.default_rng(1)
+    v = np.repeat(rng.standard_normal((60, 32)), 100, 0) + 0.05 * rng.standard_normal((6000, 32))
+    d = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(v)], "vec_id long, embedding array<double>")
+    found = {}
+    for r in hnsw.nearest(d, shard=1500).collect():
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    unit = v / np.linalg.norm(v, axis=1)[:, None]
+    right = sum(len(found[q] & set([x for x in np.argsort(-(unit @ unit[q]))[:6] if x != q][:5])) for q in range(0, 6000, 50))
+    assert right >= 0.9 * 5 * 120
+
+
 def test_near_duplicates(spark, corpus):
     root, sizes = linked(corpus)
     out = minhash_dedup.near_duplicates(documents(spark, corpus, True)).collect()
