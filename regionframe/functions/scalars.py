@@ -25,12 +25,20 @@ def path_parts(p: Column) -> dict[str, Column]:
 def human_size(n: Column) -> Column:
     """Size in steps of 1024 with one digit after the point."""
     v = n.cast("double")
-    out = F.concat(F.round(v / 1024**4, 1).cast("string"), F.lit(" TB"))
-    for k, unit in ((3, "GB"), (2, "MB"), (1, "KB"), (0, "B")):
-        out = F.when(F.abs(v) < 1024.0 ** (k + 1), F.concat(F.round(v / 1024**k, 1).cast("string"), F.lit(f" {unit}"))).otherwise(out)
+    units = ["B", "KB", "MB", "GB", "TB", "PB", "EB", "ZB"]
+    out = F.concat(F.round(v / 1024.0 ** len(units), 1).cast("string"), F.lit(" YB"))
+    for k, unit in reversed(list(enumerate(units))):
+        out = F.when(F.abs(v) < 1024.0 ** (k + 1), F.concat(F.round(v / 1024.0**k, 1).cast("string"), F.lit(f" {unit}"))).otherwise(out)
     return out
 
 
+def duration(seconds: Column) -> Column:
+    """Whole seconds as ``[D day[s], ]H:MM:SS``."""
+    days = F.floor(seconds / 86400)
+    head = F.when(days > 1, F.concat(days.cast("string"), F.lit(" days, "))).when(days == 1, "1 day, ").otherwise("")
+    return F.concat(head, F.format_string("%d:%02d:%02d", F.floor(seconds % 86400 / 3600), F.floor(seconds % 3600 / 60), seconds % 60))
+
+
 def parse_literal(s: Column) -> dict[str, Column]:
     """What a configuration value reads as: null, boolean, integer, float or text; never evaluated."""
     low = F.lower(s)

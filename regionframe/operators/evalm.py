@@ -42,6 +42,23 @@ def chunked_means(df: DataFrame, index: Column, value: str, size: int = 20) -> D
     return d.where(F.col("idx") % size > 0).groupBy(F.floor(F.col("idx") / size).cast("long").alias("chunk")).agg(F.avg(value).alias("mean"))
 
 
+def split_means(df: DataFrame, group: list[str], index: str, value: str, size: int = 20) -> DataFrame:
+    """Mean over a group's sequences of ``size``: each without its first element, divided by ``size`` - 1; null for a group without a whole sequence."""
+    rest = F.sum(F.when(F.col(index) % size > 0, F.col(value)))
+    return df.groupBy(*group).agg((rest / (size - 1) / F.nullif(F.floor(F.count("*") / size), F.lit(0))).alias("mean"))
+
+
+def camera_means(df: DataFrame, group: list[str], index: Column, value: str, cameras: list[tuple[str, int]], size: int = 20) -> DataFrame:
+    """(group, camera, mean, overall): ``cameras`` (name, frames) follow each other in a group; sequences are counted inside a camera, ``overall`` is the mean of the cameras."""
+    name, inside, start = F.lit(None).cast("string"), F.lit(None).cast("long"), 0
+    for label, frames in cameras:
+        here = (index >= start) & (index < start + frames)
+        name, inside, start = F.when(here, label).otherwise(name), F.when(here, index - start).otherwise(inside), start + frames
+    placed = df.withColumns({"camera": name, "inside": inside}).where("camera is not null")
+    means = split_means(placed, [*group, "camera"], "inside", value, size)
+    return means.withColumn("overall", F.avg("mean").over(Window.partitionBy(*group)))
+
+
 def range_means(df: DataFrame, index: Column, value: str, ranges: list[tuple[str, int, int]]) -> DataFrame:
     """Mean of each named index range [lo, hi)."""
     name = F.lit(None).cast("string")

@@ -63,6 +63,30 @@ def gram_matrix(df: DataFrame, vector: str) -> DataFrame:
     return parts.groupBy("i", "j").agg((F.sum("s") / F.sum("n")).alias("g"))
 
 
+def frechet(df: DataFrame, label: str, vector: str, a, b) -> DataFrame:
+    """One row: ``|mu_a - mu_b|^2 + Tr(C_a + C_b - 2 (C_a C_b)^(1/2))`` of two labels' vectors.
+
+    Means and product sums are aggregated in the cluster; only the two matrices, whose size is the vectors' dimension, reach the driver.
+    """
+    stats = []
+    for k in (a, b):
+        some = df.where(F.col(label) == F.lit(k)).select(F.col(vector).cast("array<double>").alias("v")).where(F.col("v").isNotNull())
+        one = some.select(F.concat(F.array(F.lit(1.0)), "v").alias("v"))  # the products with 1 are the means
+        cells = gram_matrix(one, "v").collect()
+        size, n = max(r["i"] for r in cells) + 1, some.count()
+        m = np.zeros((size, size))
+        for r in cells:
+            m[r["i"], r["j"]] = r["g"]
+        mean = m[0, 1:]
+        stats.append((mean, (m[1:, 1:] - np.outer(mean, mean)) * n / max(n - 1, 1)))
+    (m1, c1), (m2, c2) = stats
+    w, v = np.linalg.eigh(c1)
+    root = (v * np.sqrt(np.maximum(w, 0))) @ v.T  # Tr (C1 C2)^(1/2) = Tr (C1^(1/2) C2 C1^(1/2))^(1/2), which is symmetric
+    cross = np.sqrt(np.maximum(np.linalg.eigvalsh(root @ c2 @ root), 0)).sum()
+    value = float(((m1 - m2) ** 2).sum() + np.trace(c1) + np.trace(c2) - 2 * cross)
+    return df.sparkSession.range(1).select(F.lit(value).alias("distance"))
+
+
 def total_variation(df: DataFrame, group: list[str], order: str, value: str) -> DataFrame:
     w = Window.partitionBy(*group).orderBy(order)
     return df.withColumn("d", F.abs(F.col(value) - F.lag(value).over(w))).groupBy(*group).agg(F.sum("d").alias("tv"), F.count("d").alias("steps"))

@@ -560,3 +560,6 @@ def stream_window(spark, d):
     from ..streaming.streams import hourly_totals
 
     return hourly_totals(spark, f"{d}/events.parquet")
+
+
+from . import pixel_plans  # noqa: E402, F401  (registers its queries)
