@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.lineage import cut
+from .ordering import numbered
 
 
 def exact_keys(df: DataFrame, digest: Column, order: str) -> DataFrame:
@@ -21,39 +22,40 @@ def first_of_content(df: DataFrame, digest: Column, order: str) -> DataFrame:
 def hamming_pairs(df: DataFrame, id_col: str, hash_col: str, bits: int, limit: int) -> DataFrame:
     """Pairs (a < b) whose hashes differ in fewer than ``limit`` bits.
 
-    ``limit`` bands: fewer than ``limit`` differing bits leave one band equal, so an equi-join on (band, value) loses no pair.
+    Distinct hashes are compared, and rows are joined to the pairs of hashes in the end. ``limit`` bands: fewer than ``limit`` differing bits leave
+    one band equal, so an equi-join on (band, value) loses no pair.
     """
+    rows = df.select(F.col(id_col).alias("i"), F.col(hash_col).alias("h"))
     width = -(-bits // limit)
-    bands = [F.struct(F.lit(k).alias("band"), F.shiftright(F.col(hash_col), k * width).bitwiseAND((1 << min(width, bits - k * width)) - 1).alias("value")) for k in range(limit)]
-    each = df.select(F.col(id_col).alias("i"), F.col(hash_col).alias("h"), F.explode(F.array(*bands)).alias("x")).select("i", "h", "x.band", "x.value")
-    left = each.select(F.col("i").alias("a"), F.col("h").alias("ha"), "band", "value")
-    right = each.select(F.col("i").alias("b"), F.col("h").alias("hb"), "band", "value")
-    distance = F.bit_count(F.col("ha").bitwiseXOR(F.col("hb")))
-    return left.join(right, ["band", "value"]).where((F.col("a") < F.col("b")) & (distance < limit)).select("a", "b", distance.cast("int").alias("distance")).distinct()
+    bands = [F.struct(F.lit(k).alias("band"), F.shiftright(F.col("h"), k * width).bitwiseAND((1 << min(width, bits - k * width)) - 1).alias("value")) for k in range(limit)]
+    each = rows.select("h").distinct().select("h", F.explode(F.array(*bands)).alias("x")).select("h", "x.band", "x.value")
+    left, right = each.withColumnRenamed("h", "ha"), each.withColumnRenamed("h", "hb")
+    distance = F.bit_count(F.col("ha").bitwiseXOR(F.col("hb"))).cast("int")
+    alike = left.join(right, ["band", "value"]).where(distance < limit).select("ha", "hb", distance.alias("distance")).distinct()
+    met = alike.join(rows.select(F.col("i").alias("a"), F.col("h").alias("ha")), "ha").join(rows.select(F.col("i").alias("b"), F.col("h").alias("hb")), "hb")
+    return met.where("a < b").select("a", "b", "distance")
 
 
-def greedy_keys(nodes: DataFrame, pairs: DataFrame, rounds: int = 100) -> DataFrame:
+def greedy_keys(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     """(id, key): in id order a node joins the first earlier key that it pairs with, else is a key itself.
 
-    Each round decides every node whose earlier neighbours are all decided.
+    Each round decides every node whose earlier neighbours are all decided, the first undecided one at least, so the rounds end.
     """
     known = cut(nodes.join(pairs.select(F.col("b").alias("id")).distinct(), "id", "left_anti").select("id", F.col("id").alias("key")))
     left = cut(nodes.join(known, "id", "left_anti").select("id"))
-    for _ in range(rounds):
-        if left.isEmpty():
-            return known
+    while not left.isEmpty():
         edges = pairs.join(left.withColumnRenamed("id", "b"), "b").join(known.select(F.col("id").alias("a"), F.col("key").alias("a_key")), "a", "left")
         state = edges.groupBy(F.col("b").alias("id")).agg(F.count_if(F.col("a_key").isNull()).alias("open"), F.min(F.when(F.col("a_key") == F.col("a"), F.col("a"))).alias("first"))
         done = cut(state.where("open = 0").select("id", F.coalesce("first", "id").alias("key")))
         known = cut(known.unionByName(done))
         left = cut(left.join(done, "id", "left_anti"))
-    raise RuntimeError(f"undecided nodes after {rounds} rounds")
+    return known
 
 
 def expand(keys: DataFrame, order: str, count: str) -> DataFrame:
     """``count`` copies of each row, with their place in the sequence."""
     each = keys.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col(count) - 1)))
-    return each.withColumn("place", F.row_number().over(Window.orderBy(order, "copy")))
+    return numbered(each, [order, "copy"], "place").withColumn("place", F.col("place") + 1)
 
 
 def expand_by_key(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:

@@ -36,12 +36,6 @@ def skip_first_means(df: DataFrame, folder: str, index: str, value: Column) -> D
     return df.where(F.col(index) > 0).groupBy(folder).agg(F.avg(value).alias("mean"))
 
 
-def chunked_means(df: DataFrame, index: Column, value: str, size: int = 20) -> DataFrame:
-    """Means of chunks of ``size``, each without its first element."""
-    d = df.withColumn("idx", index)
-    return d.where(F.col("idx") % size > 0).groupBy(F.floor(F.col("idx") / size).cast("long").alias("chunk")).agg(F.avg(value).alias("mean"))
-
-
 def split_means(df: DataFrame, group: list[str], index: str, value: str, size: int = 20) -> DataFrame:
     """Mean over a group's sequences of ``size``: each without its first element, divided by ``size`` - 1; null for a group without a whole sequence."""
     rest = F.sum(F.when(F.col(index) % size > 0, F.col(value)))
@@ -59,14 +53,6 @@ def camera_means(df: DataFrame, group: list[str], index: Column, value: str, cam
     return means.withColumn("overall", F.avg("mean").over(Window.partitionBy(*group)))
 
 
-def range_means(df: DataFrame, index: Column, value: str, ranges: list[tuple[str, int, int]]) -> DataFrame:
-    """Mean of each named index range [lo, hi)."""
-    name = F.lit(None).cast("string")
-    for label, lo, hi in ranges:
-        name = F.when((index >= lo) & (index < hi), label).otherwise(name)
-    return df.withColumn("camera", name).where("camera is not null").groupBy("camera").agg(F.avg(value).alias("mean"))
-
-
 def best_so_far(df: DataFrame, group: list[str], order: str, value: str, higher: bool = True) -> DataFrame:
     """Running best value and the latest row that reached it."""
     w = Window.partitionBy(*group).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)

@@ -47,24 +47,35 @@ def label4(mask: np.ndarray) -> np.ndarray:
     return np.where(mask, np.searchsorted(roots, label) + 1, 0)
 
 
-def trapped_ball(free: np.ndarray, radii: tuple[int, ...], keep: str = "max") -> np.ndarray:
+def ball_fills(left: np.ndarray, radius: int, most: int = 1000) -> list[np.ndarray]:
+    """What a ball of ``radius`` fills, one seed after the other: the first place where the ball still fits, all it can reach from there, and again in the rest."""
+    ball, left, out = disk(radius), left.copy(), []
+    for _ in range(most):
+        core = erode(left, ball)
+        if not core.any():
+            break
+        number = label4(core)
+        fill = dilate(number == number.ravel()[core.ravel().argmax()], ball) & left
+        left &= ~fill
+        out.append(fill)
+    return out
+
+
+def trapped_ball(free: np.ndarray, radii: tuple[int, ...], keep: tuple[str, ...] | str = "mean") -> np.ndarray:
     """Labels of regions that a ball of each radius can fill, largest radius first; then what is left by plain components.
 
-    A radius keeps its fills that are at least as large as the ``keep`` statistic (max, mean, median) of them.
+    A radius keeps its fills that are at least as large as the ``keep`` statistic (max, mean, median; one for all or one a radius) of them.
     """
-    out = np.zeros(free.shape, np.int64)
-    left = free.copy()
-    for radius in radii:
-        ball = disk(radius)
-        core = label4(erode(left, ball))
-        fills = [dilate(core == k, ball) & left for k in range(1, core.max(initial=0) + 1)]
+    out, left = np.zeros(free.shape, np.int64), free.copy()
+    rules = (keep,) * len(radii) if isinstance(keep, str) else keep
+    for radius, rule in zip(radii, rules):
+        fills = ball_fills(left, radius)
         if not fills:
             continue
         sizes = np.array([f.sum() for f in fills])
-        bar = {"max": np.max, "mean": np.mean, "median": np.median}[keep](sizes)
+        bar = {"max": np.max, "mean": np.mean, "median": np.median}[rule](sizes)
         for f, n in zip(fills, sizes):
-            f &= left
-            if n >= bar and f.any():
+            if n >= bar:
                 out[f] = out.max() + 1
                 left &= ~f
     rest = label4(left)
@@ -72,6 +83,39 @@ def trapped_ball(free: np.ndarray, radii: tuple[int, ...], keep: str = "max") ->
     return out
 
 
+def spread(colors: np.ndarray, fixed: np.ndarray, steps: int = 40, pace: float = 0.003, decay: float = 0.99) -> np.ndarray:
+    """Colours (0..255, one a row) after ``steps`` - 1 moves away from their nearest neighbour; black is an unmoved neighbour, ``fixed`` ones stay.
+
+    All move at once, into 0.1..0.9 of the range; the pace decays. Equal colours move along a direction that their place decides.
+    """
+    start = np.vstack([colors / 255.0, np.zeros(colors.shape[1])])
+    held, now = np.append(fixed.astype(bool), True), start.copy()
+    for _ in range(steps - 1):
+        gap = now[:, None, :] - now[None, :, :]
+        far = np.sqrt((gap * gap).sum(2))
+        np.fill_diagonal(far, np.inf)
+        near = far.argmin(1)
+        way, long = gap[np.arange(len(now)), near], far[np.arange(len(now)), near]
+        for k in np.flatnonzero(long < 0.0001):
+            way[k] = np.random.default_rng(k).standard_normal(now.shape[1])
+            long[k] = np.sqrt((way[k] ** 2).sum())
+        moved = np.clip(now + pace * way / long[:, None], 0.1, 0.9)
+        now = np.where(held[:, None], start, moved)
+        pace *= decay
+    return np.round(255 * now[:-1]).astype(int)
+
+
+def spread_colors(colors: DataFrame) -> DataFrame:
+    """(frame, k, rgb, fixed) -> (frame, k, rgb) with the colours of each frame spread; a frame has about a hundred colours."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.take(np.argsort(rows["k"].to_numpy(), kind="stable"))
+        out = spread(np.array(rows["rgb"].to_pylist(), float), rows["fixed"].to_numpy(zero_copy_only=False))
+        return pa.table({"frame": rows["frame"], "k": rows["k"], "rgb": pa.array(out.tolist(), pa.list_(pa.int64()))})
+
+    return colors.groupBy("frame").applyInArrow(run, "frame long, k long, rgb array<long>")
+
+
 def ssim_window(a: np.ndarray, b: np.ndarray, size: int = 11, sigma: float = 1.5) -> float:
     """Structural similarity with a Gaussian window, valid part, of two 8-bit channels."""
     x = np.arange(size) - size // 2
@@ -89,7 +133,7 @@ def ssim_window(a: np.ndarray, b: np.ndarray, size: int = 11, sigma: float = 1.5
     return float(((2 * ma * mb + c1) * (2 * c + c2) / ((ma * ma + mb * mb + c1) * (va + vb + c2))).mean())
 
 
-def fill_frames(pixels: DataFrame, radii: tuple[int, ...] = (3, 2, 1), keep: str = "max") -> DataFrame:
+def fill_frames(pixels: DataFrame, radii: tuple[int, ...] = (4, 2, 1), keep: tuple[str, ...] | str = ("max", "mean", "mean")) -> DataFrame:
     """(clip_id, frame_no, y, x, line) -> (clip_id, frame_no, y, x, fill): 0 on lines."""
 
     def run(key: tuple, rows: pa.Table) -> pa.Table:

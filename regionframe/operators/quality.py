@@ -36,13 +36,6 @@ def frechet_diagonal(m: DataFrame, group: str, one, two) -> DataFrame:
     return j.agg(F.sum(d * d + F.col("var1") + F.col("var2") - 2 * F.sqrt(F.col("var1") * F.col("var2"))).alias("distance"))
 
 
-def gram(df: DataFrame, vector: str, dims: int) -> DataFrame:
-    """Mean products of the first dimensions, in one pass over the rows."""
-    first = F.slice(F.col(vector).cast("array<double>"), 1, dims)
-    cells = F.flatten(F.transform(first, lambda a, i: F.transform(first, lambda b, j: F.struct(i.alias("i"), j.alias("j"), (a * b).alias("p")))))
-    return df.select(F.explode(cells).alias("c")).groupBy("c.i", "c.j").agg(F.avg("c.p").alias("g"))
-
-
 def gram_matrix(df: DataFrame, vector: str) -> DataFrame:
     """Mean products of all dimensions, summed per partition before the shuffle; a pair counts the rows that have both."""
 

@@ -42,9 +42,9 @@ def frequency_rank(df: DataFrame, value: str, order: str) -> DataFrame:
     return stats.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n"), "seen")) - 1)
 
 
-def count_with_gaps(df: DataFrame, value: str, least: int, most: Column | int) -> DataFrame:
+def count_with_gaps(df: DataFrame, value: str, least: int, most: int) -> DataFrame:
     """Counts of all values from ``least`` to ``most``, zeros included."""
-    axis = df.sparkSession.range(1).select(F.explode(F.sequence(F.lit(least).cast("long"), F.lit(most).cast("long"))).alias(value))
+    axis = df.sparkSession.range(least, most + 1).withColumnRenamed("id", value)
     return axis.join(df.groupBy(F.col(value).cast("long").alias(value)).agg(F.count("*").alias("n")), value, "left").select(value, F.coalesce("n", F.lit(0)).alias("n"))
 
 
@@ -60,7 +60,7 @@ def runs(cells: DataFrame, frame: list[str]) -> DataFrame:
     return cells.withColumn("island", F.col("x") - F.row_number().over(w)).groupBy(*frame, "y", "island").agg(F.min("x").alias("x0"), F.max("x").alias("x1")).drop("island")
 
 
-def components(cells: DataFrame, frame: list[str], diagonal: bool = False, rounds: int = 200) -> DataFrame:
+def components(cells: DataFrame, frame: list[str], diagonal: bool = False) -> DataFrame:
     """(frame, y, x0, x1, component): connected runs, numbered by their first cell in row-major order.
 
     Runs are nodes; the least run spreads over overlaps in the neighbouring rows, and labels jump to their label's label.
@@ -75,7 +75,7 @@ def components(cells: DataFrame, frame: list[str], diagonal: bool = False, round
     edges = a.join(b, cond).select(F.col("a_id").alias("u"), F.col("b_id").alias("v"))
     edges = cut(edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))))
     label = cut(r.select("id", F.col("id").alias("label")))
-    for _ in range(rounds):
+    while True:
         near = edges.join(label, F.col("v") == F.col("id")).groupBy("u").agg(F.min("label").alias("near"))
         step = label.join(near, F.col("id") == F.col("u"), "left").select("id", F.least("label", F.coalesce("near", "label")).alias("to"), "label")
         jump = step.select("id", "to", "label").join(label.select(F.col("id").alias("t"), F.col("label").alias("further")), F.col("to") == F.col("t"))
@@ -91,18 +91,31 @@ def components(cells: DataFrame, frame: list[str], diagonal: bool = False, round
 NEIGHBOURS = ((-1, 0), (-1, -1), (0, -1), (1, -1), (1, 0), (1, 1), (0, 1), (-1, 1))  # W NW N NE E SE S SW
 
 
-def thin_round(cells: DataFrame, frame: list[str], strict_border: bool = False) -> DataFrame:
-    """One synchronous round: a line cell (label 0) takes the first labelled neighbour, W first, clockwise.
+def thin_round(cells: DataFrame, frame: list[str], strict_border: bool = True) -> DataFrame:
+    """One synchronous round: a line cell (label 0) beside a labelled one takes the first labelled neighbour, W first, clockwise.
 
-    Labelled cells are sent to their neighbours, so that one aggregation replaces eight joins. ``strict_border``: column and row 0 are no sources.
+    Beside means a 4-neighbour; the label may then come from any of the eight. Labelled cells are sent to their neighbours, so that one aggregation
+    replaces eight joins. ``strict_border``: nothing is read from column 0 to the west or from row 0 to the north.
     """
-    source = cells.where("label <> 0")
-    if strict_border:
-        source = source.where("x > 0 and y > 0")
-    sent = source.select(*frame, "x", "y", "label", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(-dx).alias("dx"), F.lit(-dy).alias("dy")) for k, (dx, dy) in enumerate(NEIGHBOURS)])).alias("d"))
-    sent = sent.groupBy(*frame, (F.col("x") + F.col("d.dx")).alias("x"), (F.col("y") + F.col("d.dy")).alias("y")).agg(F.min(F.struct(F.col("d.k").alias("k"), "label")).alias("got"))
+    steps = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for k, (dx, dy) in enumerate(NEIGHBOURS)])
+    sent = cells.where("label <> 0").select(*frame, "x", "y", "label", F.explode(steps).alias("d"))
+    read = F.lit(True) if not strict_border else ~(((F.col("d.dx") == -1) & (F.col("x") == 0)) | ((F.col("d.dy") == -1) & (F.col("y") == 0)))
+    sent = sent.withColumn("got", F.when(read, F.struct(F.col("d.k").alias("k"), "label"))).withColumn("beside", F.abs("d.dx") + F.abs("d.dy") == 1)
+    sent = sent.groupBy(*frame, (F.col("x") - F.col("d.dx")).alias("x"), (F.col("y") - F.col("d.dy")).alias("y")).agg(F.min("got").alias("got"), F.bool_or("beside").alias("beside"))
     key = [*frame, "x", "y"]
-    return cells.join(sent, key, "left").select(*key, F.when(F.col("label") == 0, F.coalesce("got.label", F.lit(0))).otherwise(F.col("label")).alias("label"))
+    taken = F.when(F.col("beside"), F.coalesce("got.label", F.lit(0))).otherwise(0)
+    return cells.join(sent, key, "left").select(*key, F.when(F.col("label") == 0, taken).otherwise(F.col("label")).alias("label"))
+
+
+def thin(cells: DataFrame, frame: list[str], rounds: int = 100) -> DataFrame:
+    """Rounds of thinning until no line cell changes; like the operator it follows, at most ``rounds``."""
+    left, now = None, cut(cells.select(*frame, "x", "y", "label"))
+    for _ in range(rounds):
+        now = cut(thin_round(now, frame))
+        before, left = left, now.where("label = 0").count()
+        if left in (0, before):
+            break
+    return now
 
 
 def adjacency(cells: DataFrame, frame: list[str], diagonal: bool = True) -> DataFrame:
@@ -114,11 +127,11 @@ def adjacency(cells: DataFrame, frame: list[str], diagonal: bool = True) -> Data
 
 
 def erase_small(cells: DataFrame, frame: list[str], limit: int) -> DataFrame:
-    """(frame, label, target): regions under ``limit`` cells go to their smallest neighbour (then least label), by areas at the start."""
+    """(frame, label, target): regions of at most ``limit`` cells go to their smallest neighbour (then least label), by areas at the start; without one to the line, 0."""
     sizes = cells.where("label <> 0").groupBy(*frame, "label").agg(F.count("*").alias("n"))
     near = adjacency(cells.where("label <> 0"), frame).join(sizes.select(*frame, F.col("label").alias("other"), F.col("n").alias("m")), [*frame, "other"])
     best = near.groupBy(*frame, "label").agg(F.min(F.struct("m", "other"))["other"].alias("other"))
-    return sizes.join(best, [*frame, "label"], "left").select(*frame, "label", "n", F.when(F.col("n") < limit, F.coalesce("other", "label")).otherwise(F.col("label")).alias("target"))
+    return sizes.join(best, [*frame, "label"], "left").select(*frame, "label", "n", F.when(F.col("n") <= limit, F.coalesce("other", F.lit(0))).otherwise(F.col("label")).alias("target"))
 
 
 def splat(df: DataFrame, group: list[str], x: Column, y: Column, value: str, order: str) -> DataFrame:

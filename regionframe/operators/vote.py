@@ -39,11 +39,20 @@ def mean_pool(df: DataFrame, label: str, vector: str) -> DataFrame:
     return df.select(label, F.posexplode(vector).alias("dim", "v")).groupBy(label, "dim").agg(F.avg(F.col("v").cast("double")).alias("mean"), F.count("*").alias("n"))
 
 
+CENTERS = 10_000  # sent to all tasks at once
+
+
 def nearest_center(points: DataFrame, centers: DataFrame, vector: str, center: str, name: str) -> DataFrame:
-    """Each point with the nearest of a palette of centres (a table of bounded size), first on ties."""
-    all_ = F.broadcast(centers.agg(F.array_sort(F.collect_list(F.struct(name, center))).alias("centers")))
-    near = F.array_min(F.transform("centers", lambda c: F.struct(F.round(l2(F.col(vector), c[center]), 9).alias("distance"), c[name].alias(name))))
-    return points.join(all_).withColumn("near", near).drop("centers")
+    """Each point with the nearest of a palette of centres, first on ties. A palette of more than CENTERS goes in blocks."""
+    blocks = max(-(-centers.count() // CENTERS), 1)
+    out, best = points, F.lit(None)
+    for k in range(blocks):
+        some = centers.where(F.pmod(F.xxhash64(name, center), F.lit(blocks)) == k)
+        out = out.join(F.broadcast(some.agg(F.array_sort(F.collect_list(F.struct(name, center))).alias("centers"))))
+        near = F.array_min(F.transform("centers", lambda c: F.struct(F.round(l2(F.col(vector), c[center]), 9).alias("distance"), c[name].alias(name))))
+        best = near if k == 0 else F.array_min(F.array("near", near))
+        out = out.withColumn("near", best).drop("centers")
+    return out
 
 
 def match_accuracy(matches: DataFrame, by: list[str], predicted: str, truth: str, area: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators import dedup, evalm, quality, refplan, regions, series, vote
+from ..operators import dedup, evalm, ordering, quality, refplan, regions, series, vote
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -67,29 +67,9 @@ def eval_skip_first(spark, d):
     return m.agg(F.count("*").alias("folders"), r(F.avg("mean")).alias("mean"))
 
 
-@query("""select event_id // 20 as chunk, round(avg(value), 6) mean from events where event_id % 20 > 0 group by 1""")
-def eval_chunked(spark, d):
-    return evalm.chunked_means(t(spark, d, "events").select("event_id", "value"), F.col("event_id"), "value").select("chunk", r("mean").alias("mean"))
-
-
-@query("""with c as (select case when event_id < 100 then 'Longshot' when event_id < 200 then 'Faceshot' else 'Closeup' end camera, value from events where event_id < 300),
- m as (select camera, avg(value) mean from c group by camera) select camera, round(mean, 6) mean, round((select avg(mean) from m), 6) overall from m""")
-def eval_camera_ranges(spark, d):
-    m = evalm.range_means(t(spark, d, "events").select("event_id", "value"), F.col("event_id"), "value", [("Longshot", 0, 100), ("Faceshot", 100, 200), ("Closeup", 200, 300)])
-    return m.select("camera", r("mean").alias("mean"), r(F.avg("mean").over(Window.partitionBy())).alias("overall"))
-
-
-@query("""select event_type, event_id, max(value) over w as best, (select max(event_id) from events b where b.event_type = e.event_type and b.event_id <= e.event_id and b.value = (select max(value) from events c where c.event_type = e.event_type and c.event_id <= e.event_id)) best_at
- from events e where event_id < 400 window w as (partition by event_type order by event_id rows unbounded preceding)""")
-def best_so_far(spark, d):
-    e = t(spark, d, "events").where("event_id < 400").select("event_type", "event_id", "value")
-    return evalm.best_so_far(e, ["event_type"], "event_id", "value").select("event_type", "event_id", "best", "best_at")
-
-
 @query("""with b as (select event_type, event_id, value, max(value) over (partition by event_type order by event_id rows unbounded preceding) best from events)
  select event_type, event_id, best, max(case when value = best then event_id end) over (partition by event_type order by event_id rows unbounded preceding) best_at from b""")
-def best_so_far_all(spark, d):
-    """best_so_far of every event; the other's SQL keeps a prefix of the ids."""
+def best_so_far(spark, d):
     e = t(spark, d, "events").select("event_type", "event_id", "value")
     return evalm.best_so_far(e, ["event_type"], "event_id", "value").select("event_type", "event_id", "best", "best_at")
 
@@ -153,7 +133,13 @@ def near_dup_pairs_checked(spark, d):
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "distance", cosine.alias("cosine")).where("cosine >= 0.2")
 
 
-@query()
+_PAIRS = "[k for k in s.keys if bit_count(xor(k.h, o.h)) < 3]"
+
+
+@query(f"""with recursive o as (select vec_id, h, row_number() over (order by vec_id) as i from {_SIGN}),
+ s as (select 0::bigint as i, []::struct(id bigint, h bigint)[] as keys, null::bigint as id, null::bigint as "key" union all
+  select o.i, case when len({_PAIRS}) = 0 then list_append(s.keys, {{'id': o.vec_id, 'h': o.h}}) else s.keys end, o.vec_id, coalesce({_PAIRS}[1].id, o.vec_id) from s join o on o.i = s.i + 1)
+ select id, "key" from s where id is not null""")
 def near_dup_greedy(spark, d):
     s = _signs(spark, d)
     return dedup.greedy_keys(s.select(F.col("vec_id").alias("id")), dedup.hamming_pairs(s, "vec_id", "h", 16, 3).select("a", "b"))
@@ -185,7 +171,8 @@ def keep_list_anti(spark, d):
 
 @query("""select n_name, cast(row_number() over (order by split_part(n_name, '_', 1), split_part(n_name, '_', 2)::int) - 1 as bigint) ord from nation""")
 def natural_sort_rank(spark, d):
-    return t(spark, d, "nation").select("n_name", (F.row_number().over(Window.orderBy(S.natural_key(F.col("n_name")))) - 1).cast("long").alias("ord"))
+    names = t(spark, d, "nation").select("n_name", S.natural_key(F.col("n_name")).alias("key"))
+    return ordering.numbered(names, ["key"], "ord").select("n_name", "ord")
 
 
 @query("""select c_name as name, try_cast(regexp_extract(c_name, '(\\d+)$', 1) as int) n from customer union all select r_name, try_cast(regexp_extract(r_name, '(\\d+)$', 1) as int) from region""")
@@ -321,17 +308,9 @@ def timer_window(spark, d):
     return e.select("user_id", "event_id", "segment", r("average").alias("average"))
 
 
-@query("""with recursive o as (select user_id, event_id, value, row_number() over (partition by user_id order by event_id) i from events where user_id < 20),
- e as (select user_id, event_id, i, value v from o where i = 1 union all select o.user_id, o.event_id, o.i, e.v * 0.6e0 + o.value * (1e0 - 0.6e0) from e join o on o.user_id = e.user_id and o.i = e.i + 1) select user_id, event_id, round(v, 6) smooth from e""")
-def ema_smooth(spark, d):
-    e = t(spark, d, "events").where("user_id < 20").select("user_id", "event_id", "value")
-    return series.ema(e, ["user_id"], "event_id", "value", 0.6).select("user_id", "event_id", r("smooth").alias("smooth"))
-
-
 @query("""with recursive o as (select user_id, event_id, value, row_number() over (partition by user_id order by event_id) i from events),
  e as (select user_id, event_id, i, value v from o where i = 1 union all select o.user_id, o.event_id, o.i, e.v * 0.6e0 + o.value * (1e0 - 0.6e0) from e join o on o.user_id = e.user_id and o.i = e.i + 1) select user_id, event_id, round(v, 6) smooth from e""")
-def ema_smooth_all(spark, d):
-    """ema_smooth of every user; the other's SQL keeps a prefix of the ids."""
+def ema_smooth(spark, d):
     e = t(spark, d, "events").select("user_id", "event_id", "value")
     return series.ema(e, ["user_id"], "event_id", "value", 0.6).select("user_id", "event_id", r("smooth").alias("smooth"))
 
@@ -413,18 +392,9 @@ def segment_mean_pool(spark, d):
     return vote.mean_pool(t(spark, d, "embeddings"), "label", "embedding").select("label", "dim", r("mean", 5).alias("mean"), "n")
 
 
-@query("""with c as (select label, embedding::double[] c from embeddings where vec_id < 10), x as (select e.vec_id, c.label, round(list_distance(e.embedding::double[], c.c), 9) dist, c.c from embeddings e, c) select vec_id, label as near_label, round(dist, 5) as distance from x qualify row_number() over (partition by vec_id order by dist, label) = 1""")
-def nearest_centroid(spark, d):
-    e = t(spark, d, "embeddings")
-    centers = e.where("vec_id < 10").select("label", F.col("embedding").alias("center"))
-    n = vote.nearest_center(e.select("vec_id", "embedding"), centers, "embedding", "center", "label")
-    return n.select("vec_id", F.col("near.label").alias("near_label"), r("near.distance", 5).alias("distance"))
-
-
 @query("""with e as (select label, generate_subscripts(embedding, 1) - 1 as dim, unnest(embedding)::double v from embeddings), m as (select label, dim, avg(v) mu from e group by 1, 2), c as (select label, list(mu order by dim) c from m group by 1),
  x as (select e.vec_id, c.label, round(list_distance(e.embedding::double[], c.c), 9) dist from embeddings e, c) select vec_id, label as near_label, round(dist, 5) as distance from x qualify row_number() over (partition by vec_id order by dist, label) = 1""")
-def nearest_pooled_centroid(spark, d):
-    """Nearest of the labels' mean vectors; nearest_centroid's SQL takes ten raw rows as centres."""
+def nearest_centroid(spark, d):
     e = t(spark, d, "embeddings")
     pooled = vote.mean_pool(e, "label", "embedding").groupBy("label").agg(F.array_sort(F.collect_list(F.struct("dim", "mean"))).alias("c"))
     n = vote.nearest_center(e.select("vec_id", "embedding"), pooled.select("label", F.col("c.mean").alias("center")), "embedding", "center", "label")
@@ -438,14 +408,8 @@ def covar_fid_diag(spark, d):
     return quality.frechet_diagonal(m, "label", 0, 1).select(r("distance", 5).alias("distance"))
 
 
-@query("""with i as (select unnest(range(8)) i) select cast(a.i as int) i, cast(b.i as int) j, round((select avg(embedding[a.i + 1]::double * embedding[b.i + 1]::double) from embeddings), 6) g from i a, i b""")
-def gram(spark, d):
-    return quality.gram(t(spark, d, "embeddings"), "embedding", 8).select("i", "j", r("g").alias("g"))
-
-
 @query("""with i as (select unnest(range((select max(len(embedding)) from embeddings))) i) select cast(a.i as int) i, cast(b.i as int) j, round(avg(embedding[a.i + 1]::double * embedding[b.i + 1]::double), 6) g from embeddings, i a, i b group by a.i, b.i""")
-def gram_all(spark, d):
-    """gram of all dimensions; the other's SQL takes the first eight."""
+def gram(spark, d):
     return quality.gram_matrix(t(spark, d, "embeddings"), "embedding").select("i", "j", r("g").alias("g"))
 
 
@@ -496,16 +460,19 @@ def _labels(spark, d):
     return grid.join(cells, ["x", "y"], "left").select("x", "y", F.when(F.col("on"), F.floor(F.col("x") / 8) + F.floor(F.col("y") / 8) * 8 + 1).otherwise(0).cast("long").alias("label"))
 
 
-@query(f"""with g as (select * from {_LABELS}) select g.x, g.y, cast(case when g.label <> 0 then g.label else coalesce(
- {', '.join(f'(select nullif(n.label, 0) from g n where n.x = g.x + {dx} and n.y = g.y + {dy})' for dx, dy in regions.NEIGHBOURS)}, 0) end as bigint) as label from g""")
+_STEPS = {step: "".join([" and n.x > 0" if step[0] < 0 else "", " and n.y > 0" if step[1] < 0 else ""]) for step in regions.NEIGHBOURS}
+
+
+@query(f"""with g as (select * from {_LABELS}) select g.x, g.y, cast(case when g.label <> 0 then g.label when not exists (select 1 from g n where n.label <> 0 and abs(n.x - g.x) + abs(n.y - g.y) = 1) then 0 else coalesce(
+ {', '.join(f'(select nullif(n.label, 0) from g n where n.x = g.x + {dx} and n.y = g.y + {dy}{_STEPS[dx, dy]})' for dx, dy in regions.NEIGHBOURS)}, 0) end as bigint) as label from g""")
 def thin_round(spark, d):
-    return regions.thin_round(_labels(spark, d), [])
+    return regions.thin_round(_labels(spark, d), []).select("x", "y", "label")
 
 
 @query(f"""with g as (select * from {_LABELS} where label <> 0), s as (select label, count(*) n from g group by 1),
  a as (select distinct p.label, q.label other from g p join g q on abs(p.x - q.x) <= 1 and abs(p.y - q.y) <= 1 and p.label <> q.label),
  b as (select a.label, a.other from a join s on s.label = a.other qualify row_number() over (partition by a.label order by s.n, a.other) = 1)
- select cast(s.label as bigint) as label, s.n, cast(case when s.n < 30 then coalesce(b.other, s.label) else s.label end as bigint) target from s left join b on s.label = b.label""")
+ select cast(s.label as bigint) as label, s.n, cast(case when s.n <= 30 then coalesce(b.other, 0) else s.label end as bigint) target from s left join b on s.label = b.label""")
 def erase_small(spark, d):
     return regions.erase_small(_labels(spark, d), [], 30).select("label", "n", "target")
 
@@ -534,8 +501,8 @@ def set_diff(spark, d):
 @query("""select o_orderkey, cast((row_number() over (order by md5('7:' || o_orderkey), o_orderkey) - 1) % 4 as int) as rank from orders""")
 def shuffle_stride(spark, d):
     o = t(spark, d, "orders").select("o_orderkey")
-    place = F.row_number().over(Window.orderBy(F.md5(F.concat(F.lit("7:"), F.col("o_orderkey").cast("string"))), "o_orderkey"))
-    return o.select("o_orderkey", ((place - 1) % 4).cast("int").alias("rank"))
+    keyed = o.withColumn("key", F.md5(F.concat(F.lit("7:"), F.col("o_orderkey").cast("string"))))
+    return ordering.numbered(keyed, ["key", "o_orderkey"], "place").select("o_orderkey", (F.col("place") % 4).cast("int").alias("rank"))
 
 
 # --- kernels and streams ----------------------------------------------------------------------------------------
@@ -548,7 +515,7 @@ def arrow_kernel_fill(spark, d):
     return fill_frames(_labels(spark, d).select(F.lit("grid").alias("clip_id"), F.lit(0).alias("frame_no"), "y", "x", (F.col("label") == 0).alias("line")), radii=(3, 2, 1))
 
 
-@query()
+@query("select distinct user_id, event_type, date_trunc('minute', ts)::timestamp as minute from events")
 def stream_dedup(spark, d):
     from ..streaming.streams import distinct_events
 

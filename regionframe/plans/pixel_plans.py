@@ -245,11 +245,11 @@ def ssim_frames(spark, d):
 @query(f"""with e as (select event_id // 64 as block, event_id % 64 // 8 as y, event_id % 8 as x, (event_id * 37 % 256) - 128e0 as v from events), k as (select u::int as u, v::int as v from range(8) a(u), range(8) b(v)),
  q(v, u, step) as (values {", ".join(f"({i // 8}, {i % 8}, {x}e0)" for i, x in enumerate(P.LUMINANCE))}),
  c as (select block, k.v, k.u, sum(e.v * cos((2 * x + 1) * k.u * {math.pi!r}::double / 16) * cos((2 * y + 1) * k.v * {math.pi!r}::double / 16) / 4 * case when k.u = 0 then sqrt(0.5e0) else 1 end * case when k.v = 0 then sqrt(0.5e0) else 1 end) as c from e, k group by all)
- select block, v, u, round(c, 4) as coefficient, round(c / (step * 0.5e0), 4) as quantised from c join q using (v, u)""")
+ select block, v, u, round(c, 4) + 0e0 as coefficient, round(c / (step * 0.5e0), 4) + 0e0 as quantised from c join q using (v, u)""")
 def jpeg_dct(spark, d):
     e = F.col("event_id")
     cells = t(spark, d, "events").select(F.floor(e / 64).cast("long").alias("block"), F.floor(e % 64 / 8).alias("y"), (e % 8).alias("x"), (e * 37 % 256).alias("value"))
-    return P.dct_blocks(cells, ["block"], F.col("value"), quality=75).select("block", "v", "u", r("coefficient", 4).alias("coefficient"), r("quantised", 4).alias("quantised"))
+    return P.dct_blocks(cells, ["block"], F.col("value"), quality=75).select("block", "v", "u", (r("coefficient", 4) + 0.0).alias("coefficient"), (r("quantised", 4) + 0.0).alias("quantised"))
 
 
 _CUBIC = "case when abs({0}) <= 1 then 1.5e0 * pow(abs({0}), 3) - 2.5e0 * pow(abs({0}), 2) + 1 when abs({0}) <= 2 then -0.5e0 * pow(abs({0}), 3) + 2.5e0 * pow(abs({0}), 2) - 4 * abs({0}) + 2 else 0e0 end"
@@ -447,3 +447,85 @@ def session_windows(spark, d):
     """Sessions of a user's events with less than six hours between two."""
     w = t(spark, d, "events").groupBy("user_id", F.session_window("ts", "6 hours 1 microsecond").alias("w")).agg(F.count("*").alias("n"), F.sum("value").alias("s"))
     return w.select("user_id", F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("began"), "n", r("s").alias("total"))
+
+
+@query()
+def thin_stable(spark, d):
+    """Thinning until nothing changes; tests hold it against a literal loop."""
+    cells = _px(spark, d).select("frame", "y", "x", F.when(F.col("lbl") < 4, 0).otherwise(F.col("lbl")).alias("label"))
+    return regions.thin(cells, ["frame"])
+
+
+@query()
+def redistribute_colors(spark, d):
+    """Colours pushed apart; tests hold it against a literal simulation."""
+    from ..operators.kernels import spread_colors
+
+    c = _px(spark, d).where("y = 0").groupBy("frame", "lbl").agg(F.array(F.min("r"), F.min("g"), F.min("b")).alias("rgb"))
+    return spread_colors(c.select(F.col("frame"), F.col("lbl").alias("k"), "rgb", (F.col("lbl") == 0).alias("fixed")))
+
+
+# --- labels, lines and logs -------------------------------------------------------------------------------------
+
+
+@query("""with l as (select event_id, case when event_id % 11 = 0 then -1 else event_id * 37 end as label from events), c as (select event_id, label, (greatest(label, 0) >> 16) & 255 as r, (greatest(label, 0) >> 8) & 255 as g, greatest(label, 0) & 255 as b, case when label < 0 then 0 else 255 end as a from l)
+ select event_id, r, g, b, a, case when a = 0 then -1 else r * 65536 + g * 256 + b end as label from c""")
+def label_rgba(spark, d):
+    """Labels written as colours and read again; -1 is transparent."""
+    from ..sources.files import channels_label, label_channels
+
+    e = F.col("event_id")
+    c = t(spark, d, "events").select("event_id", *[x.alias(n) for n, x in zip("rgba", label_channels(F.when(e % 11 == 0, -1).otherwise(e * 37)))])
+    return c.select("event_id", *"rgba", channels_label(*[F.col(n) for n in "rgba"]).cast("long").alias("label"))
+
+
+@query(f"""with {PX} select event_id, a > 100 as line_alpha, (r + g + b) / 3e0 < 150 as line_mean, cast(round_even((r * a + g * (255 - a)) / 255e0, 0) as int) as over from px""")
+def line_blend(spark, d):
+    c = [F.col(x) for x in "rgba"]
+    return _px(spark, d).select("event_id", S.is_line(*c).alias("line_alpha"), S.is_line(*c[:3]).alias("line_mean"), S.blend(c[0], c[3], c[1]).alias("over"))
+
+
+@query("select event_id, round((event_id * 13 % 65536 - 32768) / 64e0, 6) as flow from events")
+def flow_from_png(spark, d):
+    return t(spark, d, "events").select("event_id", r(S.flow_from_png(F.col("event_id") * 13 % 65536)).alias("flow"))
+
+
+@query("select event_id, 'clip_' || event_id as key, cast(event_id % 700 + 1 as int) as h, cast(event_id % 900 + 1 as int) as w, 3 as c, 1 as level from events where event_id % 5 > 0")
+def kv_meta(spark, d):
+    """The index lines of a key-value store of images; lines of another shape are left out."""
+    from ..sources import logs
+
+    e = F.col("event_id")
+    size = F.format_string("(%d,%d,3) 1", e % 700 + 1, e % 900 + 1)
+    lines = t(spark, d, "events").select("event_id", F.concat(F.lit("clip_"), e.cast("string"), F.when(e % 5 == 0, " broken").otherwise(F.concat(F.lit(".png "), size))).alias("value"))
+    return logs.kv_meta(lines.select("value")).select(F.regexp_extract("key", r"(\d+)$", 1).cast("long").alias("event_id"), "key", "h", "w", "c", "level")
+
+
+@query("select event_id, round(value / (event_id - 0 + 1) * (200000 - event_id - 1), 4) as eta from events")
+def eta(spark, d):
+    from ..operators import series
+
+    return t(spark, d, "events").select("event_id", r(series.eta(F.col("value"), F.lit(0), F.col("event_id"), F.lit(200_000)), 4).alias("eta"))
+
+
+@query("select doc_id, md5(text) as digest, min(doc_id) over (partition by md5(text)) as key from documents")
+def exact_keys(spark, d):
+    from ..operators import dedup
+
+    return dedup.exact_keys(t(spark, d, "documents").select("doc_id", "text"), F.md5("text"), "doc_id").select("doc_id", "digest", "key")
+
+
+@query("""select l_returnflag, round(avg(abs(l_discount - l_tax)), 8) as l1, round(sum((l_discount - l_tax) * (l_discount - l_tax) * l_quantity) / sum(l_quantity), 8) as weighted_mse, round(sum(sqrt((l_discount - l_tax) * (l_discount - l_tax) + 1e-6)), 4) as charbonnier,
+ round(10 * log10(1 / avg((l_discount - l_tax) * (l_discount - l_tax))), 6) as psnr, round(avg((l_discount = l_tax)::int::double), 6) as same from lineitem group by 1""")
+def named_metrics(spark, d):
+    """Losses with weights and reductions, and metrics by their names, in one aggregation."""
+    from ..functions import named
+
+    l = t(spark, d, "lineitem")
+    a, b = F.col("l_discount"), F.col("l_tax")
+    losses = l.groupBy("l_returnflag").agg(
+        r(named.LOSSES.find("l1")(a, b), 8).alias("l1"), r(named.LOSSES.find("mse")(a, b, F.col("l_quantity")), 8).alias("weighted_mse"), r(named.LOSSES.find("charbonnier")(a, b, reduction="sum", eps=1e-6), 4).alias("charbonnier")
+    )
+    pair = {"a": "l_discount", "b": "l_tax"}
+    metrics = named.measure(l, ["l_returnflag"], {"type": "psnr", "peak": 1.0, **pair}, {"type": "accuracy", "as": "same", **pair})
+    return losses.join(metrics.select("l_returnflag", r("psnr").alias("psnr"), r("same").alias("same")), "l_returnflag")

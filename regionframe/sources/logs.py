@@ -24,10 +24,10 @@ def kv_meta(lines: DataFrame) -> DataFrame:
 
 def frames(spark: SparkSession, path: str, pattern: str = "*.png") -> DataFrame:
     """Files of a folder with their natural order: (name, path, ord, content)."""
-    from pyspark.sql import Window
-
     from ..functions.scalars import natural_key
+    from ..operators.ordering import numbered
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
     name = F.element_at(F.split("path", "/"), -1)
-    return files.select(name.alias("name"), "path", (F.row_number().over(Window.orderBy(natural_key(name), "path")) - 1).alias("ord"), "content")
+    placed = numbered(files.select(name.alias("name"), "path", natural_key(name).alias("key")), ["key", "path"], "ord")
+    return placed.select("name", "path", "ord").join(files.select("path", "content"), "path").select("name", "path", "ord", "content")

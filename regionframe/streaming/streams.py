@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.lineage import cut
+from ..plans.lineage import cut, shared_dir
 
 
 def _events(spark: SparkSession, path: str) -> DataFrame:
@@ -20,14 +19,13 @@ def _events(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _drain(stream: DataFrame, mode: str) -> DataFrame:
-    """Run over all that is there and return the sink as a table."""
+    """Run over all that is there and return the sink's rows as a table, with the number of the ``batch`` that wrote them."""
     spark = stream.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="regionframe-")
-    place = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    place = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     out: list[DataFrame] = []
 
-    def keep(batch: DataFrame, _: int) -> None:
-        out[:] = [cut(batch)] if mode == "complete" else [*out, cut(batch)]
+    def keep(batch: DataFrame, number: int) -> None:
+        out.append(cut(batch.withColumn("batch", F.lit(number))))
 
     stream.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", place).trigger(availableNow=True).start().awaitTermination()
     result = out[0]
@@ -39,10 +37,18 @@ def _drain(stream: DataFrame, mode: str) -> DataFrame:
 def distinct_events(spark: SparkSession, path: str) -> DataFrame:
     """First event of each (user, type, minute), with state bounded by the watermark."""
     e = _events(spark, path).withColumn("minute", F.date_trunc("minute", "at")).withWatermark("at", "1 day")
-    return _drain(e.dropDuplicatesWithinWatermark(["user_id", "event_type", "minute"]).select("user_id", "event_type", "minute"), "append")
+    out = _drain(e.dropDuplicatesWithinWatermark(["user_id", "event_type", "minute"]).select("user_id", "event_type", "minute"), "append")
+    return out.select("user_id", "event_type", F.col("minute").cast("timestamp_ntz").alias("minute"))
 
 
 def hourly_totals(spark: SparkSession, path: str) -> DataFrame:
+    """Totals an hour. In update mode windows behind the watermark leave the state; the last batch that wrote a window counts."""
     e = _events(spark, path).withWatermark("at", "1 day").groupBy(F.window("at", "1 hour"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
-    out = _drain(e, "complete")
-    return out.select(F.col("window.start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
+    out = _drain(e, "update").groupBy("window", "event_type").agg(F.max(F.struct("batch", "n", "total")).alias("last"))
+    return out.select(F.col("window.start").cast("timestamp_ntz").alias("start"), "event_type", F.col("last.n").alias("n"), F.round("last.total", 4).alias("total"))
+
+
+def session_totals(spark: SparkSession, path: str, gap: str = "6 hours") -> DataFrame:
+    """Sessions of a user: number of events and total, closed once the watermark has passed them."""
+    e = _events(spark, path).withWatermark("at", "1 day").groupBy(F.session_window("at", gap), "user_id").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+    return _drain(e, "append").select("user_id", F.col("session_window.start").cast("timestamp_ntz").alias("start"), "n", F.round("total", 4).alias("total"))

@@ -64,7 +64,8 @@ def test_components_both_ways(spark):
 
 def test_thinning(spark):
     d = spark.createDataFrame([(x, 0, v) for x, v in enumerate((7, 0, 0, 9))], "x long, y long, label long")
-    assert [r.label for r in regions.thin_round(d, []).orderBy("x").collect()] == [7, 7, 9, 9]
+    assert [r.label for r in regions.thin_round(d, [], strict_border=False).orderBy("x").collect()] == [7, 7, 9, 9]
+    assert [r.label for r in regions.thin_round(d, []).orderBy("x").collect()] == [7, 0, 9, 9]
 
 
 def test_greedy_and_hamming(spark):
@@ -82,7 +83,7 @@ def test_best_of_all_events(spark, tmp_path):
     for k, _, kind, _ in rows:
         best = max((v, i) for i, _, other, v in rows[: k + 1] if other == kind)
         want.add((kind, k, *best))
-    assert {tuple(r) for r in catalogue.QUERIES["best_so_far_all"](spark, str(tmp_path)).collect()} == want
+    assert {tuple(r) for r in catalogue.QUERIES["best_so_far"](spark, str(tmp_path)).collect()} == want
 
 
 def test_smoothing_of_all_users(spark, tmp_path):
@@ -92,7 +93,7 @@ def test_smoothing_of_all_users(spark, tmp_path):
     last, want = {}, {}
     for k, user, _, v in rows:
         last[user] = want[user, k] = v if user not in last else last[user] * 0.6 + v * 0.4
-    got = {(r.user_id, r.event_id): r.smooth for r in catalogue.QUERIES["ema_smooth_all"](spark, str(tmp_path)).collect()}
+    got = {(r.user_id, r.event_id): r.smooth for r in catalogue.QUERIES["ema_smooth"](spark, str(tmp_path)).collect()}
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 2e-6 for k in want)
 
 
@@ -107,8 +108,8 @@ def test_whole_vectors(spark, tmp_path):
     run = lambda name: catalogue.QUERIES[name](spark, str(tmp_path)).collect()
     x = x.astype(float)
     means = np.stack([x[np.array(label) == k].mean(0) for k in range(10)])
-    assert {r.vec_id: r.near_label for r in run("nearest_pooled_centroid")} == {k: int(((means - x[k]) ** 2).sum(1).argmin()) for k in range(60)}
-    g = {(r.i, r.j): r.g for r in run("gram_all")}
+    assert {r.vec_id: r.near_label for r in run("nearest_centroid")} == {k: int(((means - x[k]) ** 2).sum(1).argmin()) for k in range(60)}
+    g = {(r.i, r.j): r.g for r in run("gram")}
     assert len(g) == 400 and all(abs(g[i, j] - (x[:, i] * x[:, j]).mean()) < 2e-6 for i, j in g)
     unit = x / np.linalg.norm(x, axis=1, keepdims=True)
     sign = x[:, :16] > 0
