@@ -33,12 +33,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bytehash import mix, segment_hashes, words8
-from .common import Scratch
+from .common import Scratch, fits_broadcast
 
 SHINGLE = 5
 ROWS, BANDS = 4, 32
 SKETCH_BITS = 44
 FREQUENT = 1 << 18  # shingles in the table of counts, which is sent to all tasks (3 MB)
+BROADCAST = 1_000_000  # rows of one or two longs
 COUNTED = 1 << 21  # shingles that a task counts at once
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _SPACE = np.zeros(256, bool)
@@ -178,14 +179,19 @@ def components(edges: DataFrame, scratch: Scratch, name: str = "near-components"
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)
 
 
+def _only(texts: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
+    """``texts`` joined with ``ids``; up to BROADCAST ids are sent to the scan, so that the other texts do not travel."""
+    return texts.join(F.broadcast(ids) if fits_broadcast(ids, BROADCAST) else ids, F.col("doc") == F.col(id_col))
+
+
 def _verify(pairs: DataFrame, texts: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """The pairs (a, b) that are links. Only texts of some pair travel."""
-    involved = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    held = scratch.write(texts.join(involved, F.col("doc") == F.col("id")).select("id", "text"), "near-texts")
+    involved = scratch.write(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct(), "near-involved")
+    held = scratch.write(_only(texts, involved, "id").select("id", "text"), "near-texts")
     right = pairs.join(held.select("id", F.col("text").alias("tb")), F.col("b") == F.col("id")).select("a", "b", "tb")
     full = right.join(held.select("id", F.col("text").alias("ta")), F.col("a") == F.col("id")).select("a", "b", "ta", "tb")
     links = scratch.write(full.mapInArrow(_similar, "a long, b long").distinct(), name)
-    scratch.drop("near-texts")
+    scratch.drop("near-texts", "near-involved")
     return links
 
 
@@ -217,7 +223,7 @@ def _counts(bodies: DataFrame, limit: int = FREQUENT) -> tuple[np.ndarray, np.nd
 
 def _rare_pairs(members: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
     """Candidate pairs (a, b) of ``members`` (rep, comp) of different components, by their rare shingles."""
-    bodies = scratch.write(texts.join(members, F.col("doc") == F.col("rep")).select("doc", "comp", "text"), "near-bodies")
+    bodies = scratch.write(_only(texts, members, "rep").select("doc", "comp", "text"), "near-bodies")
     counts = members.sparkSession.sparkContext.broadcast(_counts(bodies))
     rare = scratch.write(bodies.mapInArrow(_prefixes(counts), "shingle long, doc long, comp long, n int, place int"), "near-rare")
     scratch.drop("near-bodies")
@@ -269,7 +275,8 @@ def distinct_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     """``docs`` with one row of each component: of rows that repeat its id the one of least text digest. Rows without an id stay."""
     node = F.col(id_col).cast("long")
     marks = near_duplicates(docs, id_col=id_col, text_col=text_col).where("not kept").select(F.col(id_col).cast("long").alias("drop_id")).distinct()
-    rest = docs.join(marks, node == F.col("drop_id"), "left_anti")
+    # Few enough marks are sent to the scan, so that the texts do not travel.
+    rest = docs.join(F.broadcast(marks) if fits_broadcast(marks, BROADCAST) else marks, node == F.col("drop_id"), "left_anti")
     again = docs.groupBy(node.alias("again_id")).agg(F.count("*").alias("again_n")).where("again_n > 1 and again_id is not null").select("again_id")
     if again.isEmpty():
         return rest
