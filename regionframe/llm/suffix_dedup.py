@@ -30,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.ordering import numbered
 from .bytehash import mix, powers, segment_hashes, words8
 from .column_bwt import suffixes
 from .common import materialise
@@ -279,8 +280,8 @@ def _ordered(docs: DataFrame) -> DataFrame:
         return docs.select(F.col("doc_id").alias("doc"), "doc_id", "text")
     digest = F.md5(F.coalesce("text", F.lit("")))
     names = materialise(docs.select("doc_id", digest.alias("digest")).distinct(), "suffix-names")
-    ranked = names.orderBy(F.col("doc_id").asc_nulls_last(), "digest").rdd.zipWithIndex().map(lambda x: (x[0][0], x[0][1], x[1]))
-    ranked = materialise(docs.sparkSession.createDataFrame(ranked, "r_id long, r_digest string, doc long"), "suffix-order")
+    ranked = numbered(names.withColumn("none", F.col("doc_id").isNull()), ["none", "doc_id", "digest"], "doc")
+    ranked = materialise(ranked.select(F.col("doc_id").alias("r_id"), F.col("digest").alias("r_digest"), "doc"), "suffix-order")
     return docs.withColumn("digest", digest).join(ranked, F.col("doc_id").eqNullSafe(F.col("r_id")) & (F.col("digest") == F.col("r_digest"))).select("doc", "doc_id", "text")
 
 
