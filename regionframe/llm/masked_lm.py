@@ -19,6 +19,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 from zlib import crc32
 
 import numpy as np
@@ -35,7 +36,7 @@ SIDES = 2 * REACH
 PAD = VOCABULARY + RARE_CLASSES
 IDS, CLASSES = PAD + 1, FREQUENT_CLASSES + RARE_CLASSES
 SHAPES = {"embed": (IDS, DIM), "project": (SIDES, DIM, HIDDEN), "inner": (HIDDEN,), "out": (HIDDEN, CLASSES), "bias": (CLASSES,)}
-TOKENS = 1 << 14
+TOKENS = 1 << 12
 WARM_STEPS = 300
 
 
@@ -76,8 +77,11 @@ class Words:
         return self.numbers((text or "").lower().split())
 
     def numbers(self, words: list[str]) -> np.ndarray:
-        ids = self.ids
-        return np.array([ids[w] if w in ids else VOCABULARY + crc32(w.encode("utf-8", "surrogatepass")) % RARE_CLASSES for w in words], np.int32)
+        out = np.fromiter(map(self.ids.get, words, repeat(-1)), np.int32, len(words))
+        rare = np.flatnonzero(out < 0)
+        if len(rare):
+            out[rare] = [VOCABULARY + crc32(words[k].encode("utf-8", "surrogatepass")) % RARE_CLASSES for k in rare.tolist()]
+        return out
 
 
 def _hash(word: str) -> int:
@@ -104,7 +108,9 @@ def descend(p: dict[str, np.ndarray], sides: np.ndarray, target: np.ndarray, rat
     n = len(target)
     project = p["project"].reshape(SIDES * DIM, HIDDEN)  # a view: steps on it move the parameters
     x = p["embed"].take(sides.ravel(), axis=0).reshape(n, SIDES * DIM)
-    h = np.tanh(x @ project + p["inner"])
+    h = x @ project
+    h += p["inner"]
+    np.tanh(h, out=h)
     z = h @ p["out"]
     z += p["bias"]
     z -= z.max(1, keepdims=True)
@@ -135,7 +141,8 @@ def _windows(batches, words: Words) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         if not len(ids):
             continue
         at = np.arange(len(ids)) + REACH
-        padded = np.concatenate([np.full(REACH, PAD), ids, np.full(REACH, PAD)])
+        padded = np.full(len(ids) + 2 * REACH, PAD, np.int32)
+        padded[REACH:-REACH] = ids
         held.append((_sides(padded, at), words.cls[padded[at]]))
         size += len(at)
         if size >= 512:
@@ -161,11 +168,17 @@ def score(words: Words, p: dict[str, np.ndarray], texts: list[np.ndarray]) -> np
     offsets = [d for d in range(-REACH, REACH + 1) if d]
     for lo in range(0, len(at), TOKENS):
         a = at[lo : lo + TOKENS]
-        h = np.tanh(sum(t[ids[a + d]] for t, d in zip(tables, offsets)) + p["inner"])
-        z = h @ p["out"] + p["bias"]
+        h = tables[0].take(ids[a + offsets[0]], axis=0)
+        for t, d in zip(tables[1:], offsets[1:]):
+            h += t.take(ids[a + d], axis=0)
+        h += p["inner"]
+        np.tanh(h, out=h)
+        z = h @ p["out"]
+        z += p["bias"]
         z -= z.max(1, keepdims=True)
-        c = words.cls[ids[a]]
-        log_p = z[np.arange(len(a)), c] - np.log(np.exp(z).sum(1)) + words.share[ids[a]]
+        own = z[np.arange(len(a)), words.cls[ids[a]]]
+        np.exp(z, out=z)
+        log_p = own - np.log(z.sum(1)) + words.share[ids[a]]
         out += np.bincount(who[a], weights=log_p, minlength=len(texts))
     return out
 
