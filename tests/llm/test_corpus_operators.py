@@ -36,6 +36,30 @@ def test_conversations_of_one_opening_are_paired(spark):
     assert chat_preferences.opening_preferences(d.limit(0)).count() == 0
 
 
+def test_pseudo_likelihood_is_the_sum_of_conditionals(spark):
+    rng = random.Random(21)
+    rows = [(k, prose(rng, rng.randrange(0, 60), WORDS) + f" only{k} twice{k // 2}", "", "", 0) for k in range(40)] + [(90, None, "", "", 0), (91, " ", "", "", 0), (92, "word " * 30_000, "", "", 0)]
+    d = documents(spark, rows)
+    got = {r.doc_id: r for r in masked_lm.pseudo_likelihood(d).collect()}
+    words, p, beyond = masked_lm.fit(d.select("text"))
+    times = {r.word: r.n for r in beyond.collect()}
+    assert set(got) == {r[0] for r in rows}
+    for k, text, *_ in rows:
+        tokens = (text or "").lower().split()
+        assert got[k].n_tokens == len(tokens)
+        if not tokens or len(tokens) > 1000:
+            continue
+        ids = [masked_lm.PAD] * masked_lm.REACH + words.encode(text).tolist() + [masked_lm.PAD] * masked_lm.REACH
+        total = 0.0
+        for i, word in enumerate(tokens):
+            at = i + masked_lm.REACH
+            near = [ids[at + o] for o in range(-masked_lm.REACH, masked_lm.REACH + 1) if o]
+            h = np.tanh(sum(p["embed"][n].astype(float) @ p["project"][s].astype(float) for s, n in enumerate(near)) + p["inner"])
+            z = h @ p["out"] + p["bias"]
+            total += z[words.cls[ids[at]]] - np.log(np.exp(z).sum()) + words.share[ids[at]] + np.log(times.get(word, 1))
+        assert got[k].log_likelihood == pytest.approx(total, rel=0.02)
+
+
 def documents(spark, rows, clash=False):
     d = spark.createDataFrame(rows, DOCS)
     return d.withColumns({c: F.lit(1) for c in CLASH}) if clash else d
@@ -409,9 +433,20 @@ def removed(rows):
     return sorted(((r[0], *out[key(r)]) for r in rows), key=str)
 
 
+def test_repeats_of_a_text_longer_than_a_piece(spark):
+    rng = random.Random(12)
+    shared = prose(rng, 80, WORDS)
+    long = prose(rng, 70_000, WORDS)
+    assert len(long) > suffix_dedup.PIECE
+    cut = suffix_dedup.PIECE - 200  # a repeat across the border of two pieces
+    rows = [(1, long[:cut] + shared + long[cut:], "", "", 0), (2, f"x {shared} {long[5000:9000]} y", "", "", 0), (3, long[cut - 50 : cut] + shared, "", "", 0)]
+    out = sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.removed_repeats(documents(spark, rows)).collect())
+    assert out == removed(rows)
+
+
 @pytest.mark.parametrize("repeated", [False, True])
 @pytest.mark.parametrize("hot", [4096, 2])
-def test_repeats(spark, corpus, repeated, hot):
+def test_repeats(spark, corpus, repeated, hot, monkeypatch):
     rng = random.Random(8)
     shared = prose(rng, 60, WORDS)
     rows = [r for r in corpus if r[0] is not None]
@@ -420,7 +455,6 @@ def test_repeats(spark, corpus, repeated, hot):
     if repeated:
         rows += [(300, shared, "", "", 0), (None, shared, "", "", 0)]
     monkeypatch.setattr(suffix_dedup, "HOT", hot)
-    monkeypatch.setenv("UNUSED", "1")
     out = suffix_dedup.removed_repeats(documents(spark, rows, True)).collect()
     assert sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in out), key=str) == removed(rows)
     assert suffix_dedup.removed_repeats(documents(spark, [])).count() == 0
