@@ -153,9 +153,10 @@ def mixed(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", so
     settings = {"weights": (3, 1, 2), "total": 1.5, "cap": 2.0, "seed": "mix", "rounds": 4} | options
     decided = _decided(docs, id_col, text_col, source_col, **settings).where("certain > 0 or extra > 0")
     texts = docs.select(F.col(id_col).alias("t_id"), F.col(source_col).alias("t_source"), F.col(text_col).alias("text"), F.coalesce(F.md5(F.col(text_col)), F.lit("")).alias("t_digest"))
-    met = texts.join(decided, _same("t_id", "id") & _same("t_source", "source") & (F.col("t_digest") == F.col("digest")))
+    met = lambda some: texts.join(some, _same("t_id", "id") & _same("t_source", "source") & (F.col("t_digest") == F.col("digest")))
     # Equal rows are one row of ``decided``: their text is taken once and comes back as often.
-    some = met.where("m > 1").dropDuplicates(["id", "source", "digest"])
-    out = met.where("m = 1").unionByName(some).withColumn("nth", F.explode(F.sequence(F.lit(1).cast("long"), "m")))
+    several = decided.where("m > 1")
+    several = met(F.broadcast(several) if fits_broadcast(several, SOURCES_BROADCAST) else several).dropDuplicates(["id", "source", "digest"])
+    out = met(decided.where("m = 1")).unionByName(several).withColumn("nth", F.explode(F.sequence(F.lit(1).cast("long"), "m")))
     copies = F.col("certain") + (F.col("nth") <= F.col("extra")).cast("long")
     return out.select(F.col("id").alias(id_col), "text", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken")).where("copies > 0")
