@@ -6,11 +6,12 @@ every string goes where its minimiser goes.  Consecutive starts with one minimis
 1. A kernel cuts each text into ranges: minimiser hash, context hash, start, number of starts.  A context that came before in the same
    batch is settled there, so that groups of copies shrink before they travel.
 2. Ranges meet by minimiser.  In a group, equal contexts leave the first and cover the others; a minimiser with several
-   contexts is contested.
+   contexts is contested.  A count made before (of what occurs OFTEN or more in CHUNK ranges of a task) names the crowded minimisers,
+   those with CROWD ranges or more: their ranges meet by minimiser and context instead, so that no task gathers one, and are all contested.
 3. The contested contexts travel as bytes, grouped by minimiser.  Candidate starts (by the hash of the LENGTH bytes) form runs; of
    the distinct runs the suffixes are sorted by column-wise construction of the Burrows-Wheeler transform with common prefixes in
    sequential files (``column_bwt``); starts whose common prefix is LENGTH or more are one class, in which all but the first are covered.
-   A minimiser with more than HOT contexts is not gathered: its strings meet one by one, by 128 bits of hash.
+   A crowded minimiser, or one with more than HOT contexts, is not gathered: its strings meet one by one, by 128 bits of hash.
 4. Covered starts come back to their texts, which are rewritten.
 
 Running step 3's construction over all suffixes of the corpus is not feasible: see the README for figures.
@@ -39,6 +40,10 @@ LENGTH, K = 100, 24
 WINDOW = LENGTH - K + 1
 HOT = 4096
 PIECE = 1 << 18  # bytes of a text that the kernel handles at once
+OFTEN, CHUNK = 8, 1 << 22  # a minimiser below OFTEN ranges in every CHUNK of a task is not counted
+CROWD = 1 << 16  # ranges of a crowded minimiser; more at over CROWD * CROWDS ranges, so that there are at most CROWDS of them
+CROWDS = 1 << 20  # crowded minimisers that are broadcast, 8 bytes each
+SHARE = 1 << 21  # ranges that a task of the meeting holds, 32 bytes each
 _POS = np.uint64((1 << 20) - 1)
 
 
@@ -127,24 +132,54 @@ def _batch(**columns: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x) for x in columns.values()], names=list(columns))
 
 
-def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All ranges of some minimisers -> (doc, pos, starts, gram, rivals): covered ranges (rivals 0) and contested ones (their number)."""
+def _often(least: int):
+    """(gram, ranges) of the minimisers that occur ``least`` times or more in a chunk; under null, the number of all ranges."""
+
+    def chunk(grams: list[np.ndarray], total: int) -> pa.RecordBatch:
+        gram, times = np.unique(np.concatenate(grams), return_counts=True)
+        gram, times = gram[times >= least], times[times >= least]
+        ids = pa.concat_arrays([pa.array(gram, pa.int64()), pa.nulls(1, pa.int64())])
+        return pa.RecordBatch.from_arrays([ids, pa.array(np.append(times, total), pa.int64())], names=["gram", "ranges"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, total = [], 0
+        for batch in _cut(batches):
+            gram, place = np.asarray(batch.column(0)), np.asarray(batch.column(3))
+            held.append(gram[place & 1 == 0])
+            total += len(gram)
+            if total >= CHUNK:
+                yield chunk(held, total)
+                held, total = [], 0
+        if held:
+            yield chunk(held, total)
+
+    return run
+
+
+def _meet(batches: Iterator[pa.RecordBatch], hot: int) -> Iterator[pa.RecordBatch]:
+    """All ranges of some minimisers -> (doc, pos, starts, gram, rivals): covered ranges (rivals 0) and contested ones (their number).
+
+    Of a crowded minimiser (its places are complemented) only some contexts are here: its rivals are more than ``hot``.
+    """
     tables = [b for b in batches if b.num_rows]
     if not tables:
         return
     gram, context, doc, place = (np.concatenate([np.asarray(b.column(i)) for b in tables]) for i in range(4))
     del tables
+    crowded = place < 0
+    place = np.where(crowded, ~place, place)
     pos, starts, settled = place >> 8, (place >> 1 & 127).astype(np.int32), (place & 1).astype(bool)
     yield _batch(doc=doc[settled], pos=pos[settled], starts=starts[settled], gram=np.zeros(settled.sum(), np.int64), rivals=np.zeros(settled.sum(), np.int64))
     live = np.flatnonzero(~settled)
     order = live[np.lexsort((pos[live], doc[live], context[live], gram[live]))]
     if not len(order):
         return
-    gram, context, doc, pos, starts = (x[order] for x in (gram, context, doc, pos, starts))
+    gram, context, doc, pos, starts, crowded = (x[order] for x in (gram, context, doc, pos, starts, crowded))
     new_gram = np.concatenate([[True], gram[1:] != gram[:-1]])
     new_context = new_gram | np.concatenate([[True], context[1:] != context[:-1]])
     number = np.cumsum(new_gram) - 1
     rivals = np.bincount(number, weights=new_context).astype(np.int64)[number]
+    rivals[crowded] = hot + 1
     # A row that repeats the first of its context in id and place is the same text given twice.
     first = np.maximum.accumulate(np.where(new_context, np.arange(len(doc)), 0))
     covered = ~new_context & ((doc != doc[first]) | (pos != pos[first]))
@@ -153,8 +188,8 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _batch(doc=doc[pick], pos=pos[pick], starts=starts[pick], gram=gram[pick], rivals=n[pick])
 
 
-def _contexts(hot: bool):
-    """Bytes under the contested ranges of a text; for hot minimisers the hashes of their strings."""
+def _contexts(hot: bool, limit: int):
+    """Bytes under the contested ranges of a text; for minimisers with more than ``limit`` contexts the hashes of their strings."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -162,7 +197,7 @@ def _contexts(hot: bool):
             for doc, text, asked in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
                 body = (text.as_py() or "").encode("utf-8", "surrogatepass")
                 for r in asked.as_py():
-                    if (r["rivals"] > HOT) != hot:
+                    if (r["rivals"] > limit) != hot:
                         continue
                     piece = body[r["pos"] : r["pos"] + r["starts"] + LENGTH - 1]
                     if hot:
@@ -285,14 +320,32 @@ def _ordered(docs: DataFrame) -> DataFrame:
     return docs.withColumn("digest", digest).join(ranked, F.col("doc_id").eqNullSafe(F.col("r_id")) & (F.col("digest") == F.col("r_digest"))).select("doc", "doc_id", "text")
 
 
-def removed_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
-    """One row per row of ``docs``: id, n_bytes, n_removed, n_spans, kept_sha256 (and ``kept_bytes``)."""
+def _crowds(docs: DataFrame, often: int, crowd: int) -> tuple[DataFrame, int]:
+    """The crowded minimisers (``crowded``), CROWDS at most, and the number of all ranges."""
+    counted = materialise(docs.mapInArrow(_often(often), "gram long, ranges long"), "suffix-often")
+    total = counted.where("gram is null").agg(F.sum("ranges")).first()[0] or 0
+    sums = counted.where("gram is not null").groupBy("gram").agg(F.sum("ranges").alias("ranges"))
+    return sums.where(F.col("ranges") >= max(crowd, -(-total // CROWDS))).select(F.col("gram").alias("crowded")), total
+
+
+def removed_repeats(
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False, hot: int = HOT, often: int = OFTEN, crowd: int = CROWD
+) -> DataFrame:
+    """One row per row of ``docs``: id, n_bytes, n_removed, n_spans, kept_sha256 (and ``kept_bytes``).
+
+    ``hot``, ``often`` and ``crowd`` settle where ranges and strings meet, never what is removed.
+    """
     spark = docs.sparkSession
     base = _ordered(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")))
-    ranges = base.select("doc", "text").mapInArrow(_cut, "gram long, context long, doc long, place long")
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    key = F.when(F.col("place") % 2 == 1, F.xxhash64("doc", "place")).otherwise(F.col("gram"))
-    met = ranges.repartition(n, key).mapInArrow(_meet, "doc long, pos long, starts int, gram long, rivals long")
+    texts = base.select("doc", "text")
+    crowds, total = _crowds(texts, often, crowd)
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // SHARE), 1)
+    ranges = texts.mapInArrow(_cut, "gram long, context long, doc long, place long")
+    ranges = ranges.join(F.broadcast(crowds), F.col("gram") == F.col("crowded"), "left")
+    place = F.when(F.col("crowded").isNotNull() & (F.col("place") % 2 == 0), F.bitwise_not("place")).otherwise(F.col("place"))
+    ranges = ranges.select("gram", "context", "doc", place.alias("place"))
+    key = F.when(F.col("place") % 2 == 1, F.xxhash64("doc", "place")).when(F.col("place") < 0, F.xxhash64("gram", "context")).otherwise(F.col("gram"))
+    met = ranges.repartition(n, key).mapInArrow(lambda batches: _meet(batches, hot), "doc long, pos long, starts int, gram long, rivals long")
     done, asked = F.struct("pos", "starts"), F.struct("gram", "pos", "starts", "rivals")
     per = met.groupBy("doc").agg(F.collect_list(F.when(F.col("rivals") == 0, done)).alias("done"), F.collect_list(F.when(F.col("rivals") > 0, asked)).alias("asked"))
     per = per.withColumnRenamed("doc", "p_doc")
@@ -305,13 +358,13 @@ def removed_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     )
     state = materialise(state, "suffix-state")
     wanted = state.where("touched and size(asked) > 0").select("doc", "text", "asked")
-    fragments = wanted.mapInArrow(_contexts(False), "gram long, doc long, pos long, piece binary")
+    fragments = wanted.mapInArrow(_contexts(False, hot), "gram long, doc long, pos long, piece binary")
     settled = fragments.repartition(n, "gram").mapInArrow(_resolve, "doc long, pos long, starts int")
-    hot = wanted.where(F.exists("asked", lambda r: r["rivals"] > HOT)).mapInArrow(_contexts(True), "h1 long, doc long, pos long, h2 long")
-    hot = materialise(hot, "suffix-hot")
-    firsts = hot.groupBy("h1", "h2").agg(F.min(F.struct("doc", "pos")).alias("own"), F.count("*").alias("times")).where("times > 1")
+    strings = wanted.where(F.exists("asked", lambda r: r["rivals"] > hot)).mapInArrow(_contexts(True, hot), "h1 long, doc long, pos long, h2 long")
+    strings = materialise(strings, "suffix-hot")
+    firsts = strings.groupBy("h1", "h2").agg(F.min(F.struct("doc", "pos")).alias("own"), F.count("*").alias("times")).where("times > 1")
     firsts = firsts.select(F.col("h1").alias("f1"), F.col("h2").alias("f2"), F.col("own.doc").alias("own_doc"), F.col("own.pos").alias("own_pos"))
-    later = hot.join(firsts, (F.col("h1") == F.col("f1")) & (F.col("h2") == F.col("f2"))).where("doc <> own_doc or pos <> own_pos")
+    later = strings.join(firsts, (F.col("h1") == F.col("f1")) & (F.col("h2") == F.col("f2"))).where("doc <> own_doc or pos <> own_pos")
     settled = settled.unionByName(later.select("doc", "pos", F.lit(1).alias("starts")))
     more = settled.groupBy("doc").agg(F.collect_list(done).alias("more")).withColumnRenamed("doc", "m_doc")
     changed = state.where("touched").join(more, F.col("doc") == F.col("m_doc"), "left")

@@ -445,8 +445,8 @@ def test_repeats_of_a_text_longer_than_a_piece(spark):
 
 
 @pytest.mark.parametrize("repeated", [False, True])
-@pytest.mark.parametrize("hot", [4096, 2])
-def test_repeats(spark, corpus, repeated, hot, monkeypatch):
+@pytest.mark.parametrize("where", [{}, {"hot": 2}, {"often": 2, "crowd": 3}])
+def test_repeats(spark, corpus, repeated, where):
     rng = random.Random(8)
     shared = prose(rng, 60, WORDS)
     rows = [r for r in corpus if r[0] is not None]
@@ -454,12 +454,22 @@ def test_repeats(spark, corpus, repeated, hot, monkeypatch):
     rows += [(300 + k, f"{prose(rng, 20, WORDS)} {shared} {prose(rng, 20, WORDS)}", "", "", 0) for k in range(12)]
     if repeated:
         rows += [(300, shared, "", "", 0), (None, shared, "", "", 0)]
-    monkeypatch.setattr(suffix_dedup, "HOT", hot)
-    out = suffix_dedup.removed_repeats(documents(spark, rows, True)).collect()
+    out = suffix_dedup.removed_repeats(documents(spark, rows, True), **where).collect()
     assert sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in out), key=str) == removed(rows)
     assert suffix_dedup.removed_repeats(documents(spark, [])).count() == 0
 
 
+def test_crowded_minimisers_are_spread(spark):
+    rng = random.Random(31)
+    phrase = "the one phrase that every document of this table holds"
+    rows = [(k, f"{prose(rng, 30, WORDS)} {phrase} {prose(rng, 30, WORDS)}", "", "", 0) for k in range(200)] + [(500, f"{phrase} {phrase} {phrase} {phrase}", "", "", 0)]
+    d = documents(spark, rows)
+    crowds, total = suffix_dedup._crowds(d.select(F.col("doc_id").alias("doc"), "text"), 8, 100)
+    assert crowds.count() > 0 and total > 1000
+    got = suffix_dedup.removed_repeats(d, crowd=100).collect()
+    assert sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got), key=str) == removed(rows)
+
+
 def test_column_bwt():
     rng = random.Random(1)
     for _ in range(50):
