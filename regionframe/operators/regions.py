@@ -134,6 +134,40 @@ def erase_small(cells: DataFrame, frame: list[str], limit: int) -> DataFrame:
     return sizes.join(best, [*frame, "label"], "left").select(*frame, "label", "n", F.when(F.col("n") <= limit, F.coalesce("other", F.lit(0))).otherwise(F.col("label")).alias("target"))
 
 
+def merge_colour_lines(cells: DataFrame, frame: list[str], marks: tuple[int | None, ...] = (0, 2, None)) -> tuple[DataFrame, DataFrame]:
+    """Coloured line pieces become parts of regions: (cells with their new labels, (frame, label, mark, kind) of the marked regions).
+
+    ``cells`` holds frame, x, y, label (0: line) and ``kind``, the place of a line colour in ``marks`` or null.  Kinds are taken in turn.  A piece
+    (8-connected, one kind) with several regions at its sides joins the smallest (then least label) and marks it; with one region or nothing
+    at its sides it is a new region, marked 0; beside nothing but regions that earlier pieces made it goes to the line, 0.
+    Areas are those at the start.  Pieces of one kind never touch, so that a kind is one step for all frames and pieces.
+    """
+    key, now, marked = [*frame, "x", "y"], cells.select(*frame, "x", "y", "label", "kind"), None
+    areas = cut(cells.where("label <> 0").groupBy(*frame, "label").agg(F.count("*").alias("area")))
+    cross = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx, dy in NEIGHBOURS if 0 in (dx, dy)])
+    for k, mark in enumerate(marks):
+        runs_of = components(now.where(F.col("kind") == k).select(*key), frame, diagonal=True)
+        piece = cut(runs_of.select(*frame, F.explode(F.sequence("x0", "x1")).alias("x"), "y", "component"))
+        beside = piece.select(*frame, "component", "x", "y", F.explode(cross).alias("d")).select(*frame, "component", (F.col("x") + F.col("d.dx")).alias("x"), (F.col("y") + F.col("d.dy")).alias("y"))
+        near = now.where((F.col("label") != 0) & ~F.col("kind").eqNullSafe(F.lit(k))).join(beside.distinct(), key).select(*frame, "component", "label").distinct()
+        near = near.join(areas, [*frame, "label"], "left").groupBy(*frame, "component")
+        near = near.agg(F.count("area").alias("regions"), F.min(F.when(F.col("area").isNotNull(), F.struct("area", "label")))["label"].alias("least"))
+        found = piece.select(*frame, "component").distinct().join(near, [*frame, "component"], "left")
+        # regions: null beside nothing, 0 beside new regions only
+        found = found.withColumn("new", F.coalesce(F.col("regions"), F.lit(1)) == 1)
+        place = F.row_number().over(Window.partitionBy(*(frame or [F.lit(0)]), "new").orderBy("component"))
+        top = now.groupBy(*frame).agg(F.max("label").alias("top"))
+        found = found.withColumn("place", place).join(top, frame) if frame else found.withColumn("place", place).crossJoin(top)  # without frames ``top`` is one row
+        label = F.when(F.col("new"), F.col("top") + F.col("place")).when(F.col("regions") == 0, 0).otherwise(F.col("least")).cast("long")
+        found = cut(found.select(*frame, "component", label.alias("to"), F.when(F.col("new"), 0).otherwise(F.lit(mark)).alias("mark")))
+        step = found.where("to <> 0 and mark is not null").select(*frame, F.col("to").alias("label"), F.col("mark").cast("int").alias("mark"), F.lit(k).alias("kind"))
+        marked = step if marked is None else marked.unionByName(step)
+        moved = piece.join(found.select(*frame, "component", "to"), [*frame, "component"]).select(*key, "to")
+        now = cut(now.join(moved, key, "left").select(*key, F.coalesce("to", "label").alias("label"), "kind"))
+    last = marked.groupBy(*frame, "label").agg(F.max(F.struct("kind", "mark")).alias("last"))
+    return now, last.select(*frame, "label", "last.mark", "last.kind")
+
+
 def splat(df: DataFrame, group: list[str], x: Column, y: Column, value: str, order: str) -> DataFrame:
     """Values at rounded places, the last writer wins."""
     return df.groupBy(*group, F.bround(x, 0).cast("long").alias("x"), F.bround(y, 0).cast("long").alias("y")).agg(F.max_by(value, order).alias(value), F.count("*").alias("writers"))

@@ -477,6 +477,15 @@ def erase_small(spark, d):
     return regions.erase_small(_labels(spark, d), [], 30).select("label", "n", "target")
 
 
+@query()
+def colour_lines(spark, d):
+    """Colour lines of a grid (line cells of three kinds by place) joined to regions; tests hold it against a literal loop."""
+    kind = F.when((F.col("label") == 0) & (F.pmod(F.xxhash64("x", "y"), F.lit(2)) == 0), F.pmod(F.floor(F.col("x") / 5) + F.floor(F.col("y") / 7), F.lit(4)))
+    cells = _labels(spark, d).withColumn("kind", F.when(kind < 3, kind).cast("int"))
+    now, marks = regions.merge_colour_lines(cells, [])
+    return now.join(marks.drop("kind"), "label", "left").select("x", "y", "label", "mark")
+
+
 @query("""select cast(round_even(value, 0) as bigint) x, cast(round_even(event_id / 100e0, 0) as bigint) y, max_by(event_type, event_id) event_type, count(*) writers from events group by 1, 2""")
 def splat_last(spark, d):
     return regions.splat(t(spark, d, "events"), [], F.col("value"), F.col("event_id") / 100.0, "event_type", "event_id")
@@ -529,4 +538,12 @@ def stream_window(spark, d):
     return hourly_totals(spark, f"{d}/events.parquet")
 
 
+@query("""select user_id, event_id, value best from (select *, max(value) over (partition by user_id order by ts, event_id rows between unbounded preceding and 1 preceding) p from events)
+ where value is not null and (p is null or value > p)""")
+def stream_best(spark, d):
+    from ..streaming.streams import rising_bests
+
+    return rising_bests(spark, f"{d}/events.parquet")
+
+
 from . import pixel_plans  # noqa: E402, F401  (registers its queries)

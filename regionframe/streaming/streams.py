@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import os
 import uuid
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
 from ..plans.lineage import cut, shared_dir
 
 
@@ -52,3 +56,23 @@ def session_totals(spark: SparkSession, path: str, gap: str = "6 hours") -> Data
     """Sessions of a user: number of events and total, closed once the watermark has passed them."""
     e = _events(spark, path).withWatermark("at", "1 day").groupBy(F.session_window("at", gap), "user_id").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
     return _drain(e, "append").select("user_id", F.col("session_window.start").cast("timestamp_ntz").alias("start"), "n", F.round("total", 4).alias("total"))
+
+
+def _rising(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """Rows of a batch above all that came before; the state is the best value so far."""
+    rows = pd.concat(list(parts)).dropna(subset=["value"]).sort_values(["at", "event_id"])
+    before = rows["value"].cummax().shift()
+    if state.exists:
+        before = before.fillna(state.get[0]).clip(lower=state.get[0])
+    if len(rows):
+        top = float(rows["value"].max())
+        state.update((max(top, state.get[0]) if state.exists else top,))
+    out = rows[before.isna() | (rows["value"] > before)]
+    yield pd.DataFrame({"user_id": [key[0]] * len(out), "event_id": out["event_id"].to_numpy(), "best": out["value"].to_numpy()})
+
+
+def rising_bests(spark: SparkSession, path: str) -> DataFrame:
+    """Events that beat all earlier values of their user, in order of arrival (inside a batch by time, then id). The state is one number a user."""
+    e = _events(spark, path).select("user_id", "event_id", "at", "value").groupBy("user_id")
+    best = e.applyInPandasWithState(_rising, "user_id long, event_id long, best double", "best double", "append", GroupStateTimeout.NoTimeout)
+    return _drain(best, "append").select("user_id", "event_id", "best")

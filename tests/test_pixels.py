@@ -171,3 +171,79 @@ def test_wheel_and_ssim(spark):
     a, b = rng.integers(0, 256, (16, 18)), rng.integers(0, 256, (16, 18))
     d = spark.createDataFrame([(0, y, x, int(a[y, x]), int(b[y, x])) for y in range(16) for x in range(18)], "f int, y int, x int, a int, b int")
     assert pixels.ssim_frames(d, ["f"], "a", "b", 16, 18).first().ssim == pytest.approx(kernels.ssim_window(a, b), abs=1e-9)
+
+
+def literal_colour_lines(grid, kinds, marks=(0, 2, None)):
+    grid, found = [list(row) for row in grid], {}
+    high, wide = len(grid), len(grid[0])
+    area = {}
+    for row in grid:
+        for v in row:
+            area[v] = area.get(v, 0) + (v != 0)
+    area.pop(0, None)
+    for k, mark in enumerate(marks):
+        seen = set()
+        for y in range(high):
+            for x in range(wide):
+                if kinds[y][x] != k or (y, x) in seen:
+                    continue
+                piece, queue = set(), [(y, x)]
+                while queue:
+                    a, b = queue.pop()
+                    if (a, b) in piece or not (0 <= a < high and 0 <= b < wide) or kinds[a][b] != k:
+                        continue
+                    piece.add((a, b))
+                    queue += [(a + i, b + j) for i in (-1, 0, 1) for j in (-1, 0, 1)]
+                seen |= piece
+                rim = {(a + i, b + j) for a, b in piece for i, j in ((0, 1), (1, 0), (0, -1), (-1, 0))} - piece
+                near = {grid[a][b] for a, b in rim if 0 <= a < high and 0 <= b < wide} - {0}
+                old = [v for v in near if v in area]
+                if near and not old:
+                    to = 0
+                elif len(old) < 2:
+                    to = max(map(max, grid)) + 1
+                    found[to] = 0
+                else:
+                    to = min(old, key=lambda v: (area[v], v))
+                    if mark is not None:
+                        found[to] = mark
+                for a, b in piece:
+                    grid[a][b] = to
+    return grid, found
+
+
+def test_colour_lines(spark):
+    rng = np.random.default_rng(12)
+    want_cells, want_marks, rows = set(), set(), []
+    for frame in range(6):
+        label = np.kron(np.arange(1, 10).reshape(3, 3), np.ones((5, 5), int))
+        line = rng.random(label.shape) < (0.3 if frame < 4 else 0.7)
+        kinds = np.where(line, rng.integers(0, 4, label.shape), 3)
+        label = np.where(line, 0, label)
+        grid, found = literal_colour_lines(label.tolist(), kinds.tolist())
+        for y, x in np.ndindex(label.shape):
+            rows.append((frame, x, y, int(label[y, x]), int(kinds[y, x]) if kinds[y, x] < 3 else None))
+            want_cells.add((frame, x, y, grid[y][x]))
+        want_marks |= {(frame, v, m) for v, m in found.items()}
+    now, marks = regions.merge_colour_lines(spark.createDataFrame(rows, "frame int, x int, y int, label long, kind int"), ["frame"])
+    assert {(r.frame, r.x, r.y, r.label) for r in now.collect()} == want_cells
+    assert {(r.frame, r.label, r.mark) for r in marks.collect()} == want_marks
+
+
+def test_bests_go_on_over_batches(spark, tmp_path):
+    import pandas as pd
+
+    from regionframe.streaming.streams import _rising
+
+    class State:
+        exists, get = False, None
+
+        def update(self, value):
+            self.exists, self.get = True, value
+
+    state = State()
+    one = pd.DataFrame({"event_id": [2, 1, 3], "at": [2, 1, 3], "value": [5.0, 3.0, 4.0]})
+    two = pd.DataFrame({"event_id": [4, 5, 6, 7], "at": [4, 5, 6, 7], "value": [4.5, None, 6.0, 5.5]})
+    got = [next(_rising((9,), iter([part]), state))["event_id"].tolist() for part in (one, two)]
+    assert got == [[1, 2], [6]] and state.get == (6.0,)
+    assert next(_rising((9,), iter([two.assign(value=None)]), state)).empty and state.get == (6.0,)
