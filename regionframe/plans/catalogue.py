@@ -524,6 +524,14 @@ def arrow_kernel_fill(spark, d):
     return fill_frames(_labels(spark, d).select(F.lit("grid").alias("clip_id"), F.lit(0).alias("frame_no"), "y", "x", (F.col("label") == 0).alias("line")), radii=(3, 2, 1))
 
 
+@query()
+def merge_fills(spark, d):
+    """Fills of a grid, small and simple ones merged; tests hold the kernel against hand-made cases."""
+    from ..operators.kernels import merge_frames
+
+    return merge_frames(_labels(spark, d).select(F.lit("grid").alias("clip_id"), F.lit(0).alias("frame_no"), "y", "x", F.col("label").alias("fill")))
+
+
 @query("select distinct user_id, event_type, date_trunc('minute', ts)::timestamp as minute from events")
 def stream_dedup(spark, d):
     from ..streaming.streams import distinct_events

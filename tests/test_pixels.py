@@ -247,3 +247,44 @@ def test_bests_go_on_over_batches(spark, tmp_path):
     got = [next(_rising((9,), iter([part]), state))["event_id"].tolist() for part in (one, two)]
     assert got == [[1, 2], [6]] and state.get == (6.0,)
     assert next(_rising((9,), iter([two.assign(value=None)]), state)).empty and state.get == (6.0,)
+
+
+def test_outlines_and_corners():
+    square = np.zeros((30, 30), bool)
+    square[3:23, 4:24] = True
+    path = kernels.outline(square)
+    assert len(path) == 76 and len({tuple(p) for p in path}) == 76 and kernels.corners(path) == 4
+    assert (np.abs(np.diff(np.vstack([path, path[:1]]), axis=0)).max(1) == 1).all()
+    cross = np.zeros((15, 15), bool)
+    cross[5:10] = cross[:, 5:10] = True
+    assert kernels.corners(kernels.outline(cross)) >= 8  # the four notches stay
+    y, x = np.mgrid[:30, :30]
+    assert kernels.corners(kernels.outline((y >= x) & (y < 25))) == 3
+    assert kernels.outline(np.ones((1, 1), bool)).tolist() == [[0, 0]] and kernels.corners(kernels.outline(np.ones((1, 2), bool))) == 2
+    two = np.zeros((9, 9), bool)
+    two[0, 0] = two[5, 5:8] = True
+    assert {tuple(p) for p in kernels.outline(two)} == {(5, 5), (5, 6), (5, 7)}
+
+
+def test_fills_are_merged():
+    fill = np.full((60, 80), 1)
+    fill[:, 40] = 0
+    fill[:, 41:] = 2
+    fill[5:25, 5:25] = 3  # a square of 400 cells: 4 corners
+    fill[35:50, 5:20] = 1
+    fill[40:45, 5:20] = fill[35:50, 10:15] = 4  # a cross of 125 cells with one neighbour
+    want = np.full((60, 80), 1)
+    want[:, 40] = 0
+    want[:, 41:] = 2
+    assert (kernels.merge_fills(fill) == want).all()
+    edge = np.full((40, 40), 1)
+    edge[:, 20:] = 2
+    edge[10:25, 18:23] = edge[15:20, 13:28] = 5  # a cross between two fills has many corners: it stays
+    assert (kernels.merge_fills(edge) == edge).all()
+    edge[10:25, 13:28] = 5  # as a square it goes to the least label
+    got = kernels.merge_fills(edge)
+    assert set(got[10:25, 13:28].ravel().tolist()) == {1}
+    alone = np.zeros((20, 20), int)
+    alone[2, 2:6], alone[8, 2:8] = 1, 2  # 4 and 6 cells between lines
+    assert np.unique(kernels.merge_fills(alone)).tolist() == [0, 2]
+    assert (kernels.merge_fills(np.zeros((3, 3), int)) == 0).all()
