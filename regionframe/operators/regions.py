@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.lineage import cut
+from .ordering import numbered
 
 
 def mode_per_group(df: DataFrame, group: list[str], value: list[str]) -> DataFrame:
@@ -39,7 +40,7 @@ def relabel_by_first_pixel(pixels: DataFrame, frame: list[str]) -> DataFrame:
 def frequency_rank(df: DataFrame, value: str, order: str) -> DataFrame:
     """Rank of values by count, first seen first on ties, from 0."""
     stats = df.groupBy(value).agg(F.count("*").alias("n"), F.min(order).alias("seen"))
-    return stats.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n"), "seen")) - 1)
+    return numbered(stats, [F.desc("n"), "seen"], "rank")
 
 
 def count_with_gaps(df: DataFrame, value: str, least: int, most: int) -> DataFrame:

@@ -271,7 +271,7 @@ def dense_relabel(spark, d):
 
 @query("""select p_brand, cast(row_number() over (order by count(*) desc, min(p_partkey)) - 1 as int) as rank, count(*) n from part group by p_brand""")
 def freq_rank_relabel(spark, d):
-    return regions.frequency_rank(t(spark, d, "part"), "p_brand", "p_partkey").select("p_brand", "rank", "n")
+    return regions.frequency_rank(t(spark, d, "part"), "p_brand", "p_partkey").select("p_brand", F.col("rank").cast("int").alias("rank"), "n")
 
 
 @query("""with b as (select max(c_custkey) m from customer) select s.k as o_custkey, coalesce(n, 0) n from (select unnest(range(0, m + 1)) k from b) s left join (select o_custkey, count(*) n from orders group by 1) o on o.o_custkey = s.k""")
