@@ -1,4 +1,4 @@
-"""The stages one after the other keep what they should: each on its own input, against a literal version."""
+"""Each stage on its own input: the first three against literal versions, personal data and the mix by their properties."""
 
 import hashlib
 import re
@@ -38,7 +38,7 @@ def uncontaminated(text, items):
     return not covered or 20 * len(covered) < len(w)
 
 
-def test_stages_against_literal_versions(spark):
+def test_stages_on_their_own_input(spark):
     docs = with_odd_rows(spark).cache()
     model = langid.fit(docs)
     sure = {t: bool(re.search(r"[^\W\d_]", t)) and model.scores([langid.fold(t)]).max() >= 0.5 for _, t in rows_of(docs) if t is not None}
