@@ -75,6 +75,31 @@ def test_greedy_and_hamming(spark):
     assert {r.id: r.key for r in dedup.greedy_keys(d.select("id"), pairs.select("a", "b")).collect()} == {0: 0, 1: 0, 2: 0, 3: 3}
 
 
+def test_greedy_keys_of_copies_and_crowds(spark, tmp_path, monkeypatch):
+    rng = np.random.default_rng(8)
+    for bits, limit in ((16, 3), (20, 2)):  # by a scan of all hashes, and by rounds
+        rows = [(int(i), int(h)) for i, h in zip(rng.permutation(3000), rng.integers(1 << 9, size=3000) << 4)]
+        keys, want = [], {}
+        for i, h in sorted(rows):
+            want[i] = next((k for k, g in keys if (g ^ h).bit_count() < limit), i)
+            if want[i] == i:
+                keys.append((i, h))
+        d = spark.createDataFrame(rows, "id long, h long")
+        assert {r.id: r.key for r in dedup.greedy_hash_keys(d, "id", "h", bits, limit).collect()} == want
+    # 40 nodes that all pair: one key, not a round for each.
+    rounds, cut = [], dedup.cut
+    monkeypatch.setattr(dedup, "cut", lambda df: rounds.append(0) or cut(df))
+    d = spark.range(40)
+    pairs = d.select(F.col("id").alias("a")).join(d.select(F.col("id").alias("b"))).where("a < b")
+    assert {r.key for r in dedup.greedy_keys(d, pairs).collect()} == {0} and len(rounds) < 10
+    # The query never pairs copies; no vector has no bits.
+    monkeypatch.setattr(dedup, "hamming_pairs", None)
+    vectors = [(k, [1.0 if k % 5 == 4 else -1.0] * 16) for k in range(400)] + [(400, None)]
+    spark.createDataFrame(vectors, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {r.id: r.key for r in catalogue.QUERIES["near_dup_greedy"](spark, str(tmp_path)).collect()}
+    assert got == {k: 4 if k < 400 and k % 5 == 4 else 0 for k in range(401)}
+
+
 def test_best_of_all_events(spark, tmp_path):
     rng = np.random.default_rng(1)
     rows = [(k, int(rng.integers(20, 25)), "ab"[int(rng.integers(2))], float(rng.integers(20 + k // 40))) for k in range(900)]
