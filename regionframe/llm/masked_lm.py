@@ -24,6 +24,7 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,23 +37,30 @@ SIDES = 2 * REACH
 PAD = VOCABULARY + RARE_CLASSES
 IDS, CLASSES = PAD + 1, FREQUENT_CLASSES + RARE_CLASSES
 SHAPES = {"embed": (IDS, DIM), "project": (SIDES, DIM, HIDDEN), "inner": (HIDDEN,), "out": (HIDDEN, CLASSES), "bias": (CLASSES,)}
-TOKENS = 1 << 12
+OFFSETS = np.array([d for d in range(-REACH, REACH + 1) if d])
+GAP = np.full(REACH, PAD, np.int32)
+TOKENS = 1 << 10  # windows scored at once; their classes stay in the cache
+WORDS = 1 << 22  # words counted at once
 WARM_STEPS = 300
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    seen: Counter[str] = Counter()
+    held: list[pa.Array] = []
+    size = 0
 
     def flush() -> pa.RecordBatch:
-        out = pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["word", "n"])
-        seen.clear()
-        return out
+        seen = pc.value_counts(pa.chunked_array(held, pa.large_string()))
+        held.clear()
+        return pa.RecordBatch.from_arrays([seen.field(0).cast(pa.string()), seen.field(1)], names=["word", "n"])
 
     for batch in batches:
-        for text in batch.column(0):
-            seen.update((text.as_py() or "").lower().split())
-            if len(seen) > 500_000:
+        for lo in range(0, batch.num_rows, 128):
+            words = [word for text in batch.column(0).slice(lo, 128) for word in (text.as_py() or "").lower().split()]
+            held.append(pa.array(words, pa.large_string()))
+            size += len(words)
+            if size > WORDS:
                 yield flush()
+                size = 0
     yield flush()
 
 
@@ -74,24 +82,21 @@ class Words:
         self.prior = np.log(total / total.sum()).astype(np.float32)
 
     def encode(self, text: str | None) -> np.ndarray:
-        return self.numbers((text or "").lower().split())
+        return self.numbers((text or "").lower().split())[0]
 
-    def numbers(self, words: list[str]) -> np.ndarray:
+    def numbers(self, words: list[str]) -> tuple[np.ndarray, list[bytes]]:
+        """Ids of words, and the words beyond the vocabulary."""
         out = np.fromiter(map(self.ids.get, words, repeat(-1)), np.int32, len(words))
-        rare = np.flatnonzero(out < 0)
-        if len(rare):
-            out[rare] = [VOCABULARY + crc32(words[k].encode("utf-8", "surrogatepass")) % RARE_CLASSES for k in rare.tolist()]
-        return out
-
+        at = np.flatnonzero(out < 0)
+        rare = list(map(str.encode, map(words.__getitem__, at.tolist())))
+        if rare:
+            out[at] = VOCABULARY + np.fromiter(map(crc32, rare), np.int64, len(rare)) % RARE_CLASSES
+        return out, rare
 
-def _hash(word: str) -> int:
-    """Spark's xxhash64 of a word, unsigned."""
-    return xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"), 42)
 
-
-def _sides(ids: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Neighbours of the positions ``at`` of a padded array of ids."""
-    return ids[at[:, None] + np.array([d for d in range(-REACH, REACH + 1) if d])]
+def _hashes(words: list[bytes]) -> np.ndarray:
+    """Spark's xxhash64 of each word."""
+    return np.fromiter(map(xxhash.xxh64_intdigest, words, repeat(42)), np.uint64, len(words)).view(np.int64)
 
 
 def initial(words: Words, seed: int = 3) -> dict[str, np.ndarray]:
@@ -103,6 +108,21 @@ def initial(words: Words, seed: int = 3) -> dict[str, np.ndarray]:
     return p
 
 
+def _logits(p: dict[str, np.ndarray], h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hidden units with a column of ones, which carries the bias, and the logits; large logits are moved to a maximum of 0."""
+    ones = np.empty((len(h), HIDDEN + 1), np.float32)
+    np.tanh(h, out=ones[:, :HIDDEN])
+    ones[:, HIDDEN] = 1
+    out = np.concatenate([p["out"], p["bias"][None]])
+    z = ones @ out
+    if not (COLUMNS @ np.abs(out)).max() < 60:  # no logit is beyond this sum: smaller ones have exponentials in any case
+        z -= z.max(1, keepdims=True)
+    return ones, z
+
+
+ROWS, COLUMNS, HEAD = np.ones(CLASSES, np.float32), np.ones(HIDDEN + 1, np.float32), np.zeros(1, np.int64)
+
+
 def descend(p: dict[str, np.ndarray], sides: np.ndarray, target: np.ndarray, rate: float) -> None:
     """One step of gradient descent on windows."""
     n = len(target)
@@ -110,77 +130,76 @@ def descend(p: dict[str, np.ndarray], sides: np.ndarray, target: np.ndarray, rat
     x = p["embed"].take(sides.ravel(), axis=0).reshape(n, SIDES * DIM)
     h = x @ project
     h += p["inner"]
-    np.tanh(h, out=h)
-    z = h @ p["out"]
-    z += p["bias"]
-    z -= z.max(1, keepdims=True)
+    ones, z = _logits(p, h)
     np.exp(z, out=z)
-    z /= z.sum(1, keepdims=True)
-    z[np.arange(n), target] -= 1
-    back = (z @ p["out"].T) * (1 - h * h)
+    z /= (z @ ROWS)[:, None]
+    z.ravel()[np.arange(0, n * CLASSES, CLASSES) + target] -= 1
+    back = z @ p["out"].T
+    slope = ones * ones
+    np.subtract(1, slope, out=slope)
+    back *= slope[:, :HIDDEN]
     scale = np.float32(rate / n)
-    p["out"] -= scale * (h.T @ z)
-    p["bias"] -= scale * z.sum(0)
-    into = (back @ project.T).reshape(-1, DIM)
-    project -= scale * (x.T @ back)
-    p["inner"] -= scale * back.sum(0)
+    turn = ones.T @ z
+    turn *= scale
+    p["out"] -= turn[:HIDDEN]
+    p["bias"] -= turn[HIDDEN]
+    into = back @ project.T
+    project -= scale * (back.T @ x).T
+    p["inner"] -= scale * (ones[:, HIDDEN] @ back)
     flat = sides.ravel().astype(np.int16)  # IDS fits; short integers are sorted by radix
-    order = np.argsort(flat, kind="stable")
+    order = flat.argsort(kind="stable")
     flat = flat[order]
-    heads = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]]))
+    heads = np.concatenate([HEAD, np.flatnonzero(flat[1:] != flat[:-1]) + 1])
+    sums = np.add.reduceat(into.reshape(-1, DIM).take(order, axis=0).view(np.complex64), heads, axis=0).view(np.float32)  # two numbers at once
+    sums *= np.float32(rate / np.sqrt(n))
     # Rare words would hardly move at the mean's rate: a word's step counts its own windows.
-    p["embed"][flat[heads]] -= np.float32(rate) * np.add.reduceat(into.take(order, axis=0), heads, axis=0) / np.float32(np.sqrt(n))
+    p["embed"][flat[heads]] -= sums
 
 
 def _windows(batches, words: Words) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Training windows of every position of every text, about 512 at once."""
-    held: list[tuple[np.ndarray, np.ndarray]] = []
-    size = 0
+    held, size = [GAP], 0
+
+    def steps() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        ids = np.concatenate(held)
+        at = np.flatnonzero(ids != PAD)
+        for lo in range(0, len(at), 1024):
+            a = at[lo : lo + 1024]
+            yield ids[a[:, None] + OFFSETS], words.cls[ids[a]]
+
     for text in batches:
         ids = words.encode(text)
         if not len(ids):
             continue
-        at = np.arange(len(ids)) + REACH
-        padded = np.full(len(ids) + 2 * REACH, PAD, np.int32)
-        padded[REACH:-REACH] = ids
-        held.append((_sides(padded, at), words.cls[padded[at]]))
-        size += len(at)
+        held += [ids, GAP]
+        size += len(ids)
         if size >= 512:
-            sides, target = (np.concatenate(x) for x in zip(*held))
-            for lo in range(0, len(target), 1024):
-                yield sides[lo : lo + 1024], target[lo : lo + 1024]
-            held, size = [], 0
-    if held:
-        yield tuple(np.concatenate(x) for x in zip(*held))
+            yield from steps()
+            held, size = [GAP], 0
+    if size:
+        yield from steps()
 
 
 def score(words: Words, p: dict[str, np.ndarray], texts: list[np.ndarray]) -> np.ndarray:
     """Summed log-probabilities of texts given as ids, a rare word counting as if it occurred once in the corpus."""
     tables = [p["embed"] @ p["project"][s] for s in range(SIDES)]
-    gap = np.full(REACH, PAD, np.int32)
-    out = np.zeros(len(texts))
-    parts, owner = [gap], [np.full(REACH, -1)]
-    for k, ids in enumerate(texts):
-        parts += [ids, gap]
-        owner += [np.full(len(ids), k), np.full(REACH, -1)]
-    ids, who = np.concatenate(parts), np.concatenate(owner)
-    at = np.flatnonzero(who >= 0)
-    offsets = [d for d in range(-REACH, REACH + 1) if d]
+    tables[0] += p["inner"]
+    parts = [GAP]
+    for ids in texts:
+        parts += [ids, GAP]
+    ids = np.concatenate(parts)
+    at = np.flatnonzero(ids != PAD)
+    log_p = words.share[ids[at]]
     for lo in range(0, len(at), TOKENS):
         a = at[lo : lo + TOKENS]
-        h = tables[0].take(ids[a + offsets[0]], axis=0)
-        for t, d in zip(tables[1:], offsets[1:]):
+        h = tables[0].take(ids[a + OFFSETS[0]], axis=0)
+        for t, d in zip(tables[1:], OFFSETS[1:]):
             h += t.take(ids[a + d], axis=0)
-        h += p["inner"]
-        np.tanh(h, out=h)
-        z = h @ p["out"]
-        z += p["bias"]
-        z -= z.max(1, keepdims=True)
+        z = _logits(p, h)[1]
         own = z[np.arange(len(a)), words.cls[ids[a]]]
         np.exp(z, out=z)
-        log_p = own - np.log(z.sum(1)) + words.share[ids[a]]
-        out += np.bincount(who[a], weights=log_p, minlength=len(texts))
-    return out
+        log_p[lo : lo + TOKENS] += own - np.log(z @ ROWS)
+    return np.bincount(np.repeat(np.arange(len(texts)), [len(x) for x in texts]), weights=log_p, minlength=len(texts))
 
 
 def _pack(p: dict[str, np.ndarray]) -> np.ndarray:
@@ -289,13 +308,14 @@ def pseudo_likelihood(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
         for batch in batches:
             for lo in range(0, batch.num_rows, 128):
                 part = batch.slice(lo, 128)
-                ids, rare = [], []
+                ids, rare, ends = [], [], [0]
                 for t in part.column(2):
-                    text = (t.as_py() or "").lower().split()
-                    ids.append(words.numbers(text))
-                    rare.append([_hash(text[k]) for k in np.flatnonzero(ids[-1] >= VOCABULARY).tolist()])
+                    own, beyond_it = words.numbers((t.as_py() or "").lower().split())
+                    ids.append(own)
+                    rare += beyond_it
+                    ends.append(len(rare))
                 n, sums = np.array([len(x) for x in ids]), score(words, p, ids)
-                lists = pa.ListArray.from_arrays(np.cumsum([0, *map(len, rare)]).astype(np.int32), pa.array(np.array([h for x in rare for h in x], np.uint64).view(np.int64)))
+                lists = pa.ListArray.from_arrays(np.array(ends, np.int32), pa.array(_hashes(rare)))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n, pa.int64()), pa.array(sums, pa.float64()), lists], names=["row", "id", "n", "sums", "rare"])
 
     numbered = base.select(F.monotonically_increasing_id().alias("row"), "id", "text")

@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -281,6 +282,34 @@ def test_masked_lm_trains_on_every_position(spark):
     assert sorted(got) == sorted([long, "same", "other"])
 
 
+def test_masked_lm_kernels_against_literal_versions(monkeypatch):
+    rng = np.random.default_rng(4)
+    words = masked_lm.Words(["a", "b", "c"], [50, 30, 20], {})
+    sides, target = rng.choice([0, 1, 2, masked_lm.PAD], (50, masked_lm.SIDES)), rng.integers(masked_lm.CLASSES, size=50)
+    for bias in (0.0, 500.0):  # beyond the range of exponentials too
+        p = masked_lm.initial(words)
+        p["bias"][5] += bias
+        q = {k: v.astype(np.float64) for k, v in p.items()}
+        masked_lm.descend(p, sides, target, 0.1)
+        x = q["embed"][sides]
+        h = np.tanh(np.einsum("nsd,sdh->nh", x, q["project"]) + q["inner"])
+        z = h @ q["out"] + q["bias"]
+        z = np.exp(z - z.max(1, keepdims=True))
+        z = z / z.sum(1, keepdims=True) - np.eye(masked_lm.CLASSES)[target]
+        back = (z @ q["out"].T) * (1 - h * h)
+        into = np.einsum("nh,sdh->nsd", back, q["project"])
+        q["out"] -= 0.1 / 50 * h.T @ z
+        q["bias"] -= 0.1 / 50 * z.sum(0)
+        q["project"] -= 0.1 / 50 * np.einsum("nsd,nh->sdh", x, back)
+        q["inner"] -= 0.1 / 50 * back.sum(0)
+        np.subtract.at(q["embed"], sides, 0.1 / np.sqrt(50) * into)
+        assert all(np.allclose(p[k], q[k], atol=2e-5) for k in q)
+    monkeypatch.setattr(masked_lm, "WORDS", 5)
+    texts = pa.RecordBatch.from_pydict({"text": ["B a\x1cb", None, "", "\u00e9 \u3000 a", *["a b"] * 300]})
+    got = [(w, n) for out in masked_lm._count(iter([texts])) for w, n in zip(out.column(0).to_pylist(), out.column(1).to_pylist())]
+    assert len(got) > 3 and {w: sum(n for v, n in got if v == w) for w, _ in got} == {"a": 302, "b": 302, "\u00e9": 1}
+
+
 def test_masked_lm_counts_of_words_beyond_the_vocabulary(spark):
     kind = lambda w: zlib.crc32(w.encode()) % masked_lm.RARE_CLASSES
     often = "öfter"
