@@ -1,14 +1,17 @@
 """Main text of web pages, with nearest-URL page differencing.
 
-A page's text blocks are read from its markup once, front to back.  Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles
-and reader comments are left out by element, role and class name.  If the page marks its article (``article``,
-``main``, or the matching role or property), the main text is what stands in it: the markup settles it.
+A page's text blocks are read from its markup, front to back.  Every page is compared with its nearest page of other content: pages of one host
+are sorted by URL path, pages with equal lines count as one, and of the two pages beside it the one that shares the longer piece of path is
+taken.  The lines of both are aligned by their longest common subsequence and the shared lines are proposed for deletion.
 
-A page that doesn't is compared with its nearest page of other content: pages of one host are sorted by URL path, pages with equal lines count
-as one, and of the two pages beside it the one that shares the longer piece of path is taken.  The lines of both are aligned by their longest
-common subsequence and the shared lines are deleted.  Where less than LEAST of the text would remain, the two are near copies and the page keeps
-its text.  Pages are dealt out in ranges of host and path, and the rows at the edges of a range are passed to the ranges beside it, so no host is
-gathered in one task and its size changes no result; only line hashes travel.
+The markup then checks what differencing proposes, since an article may repeat a passage and boilerplate may differ from page to page.  Menus,
+headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments, known by element, role and class name, go in any case.  If
+text stands in a marked article (``article``, ``main``, or the matching role or property), it is kept with its shared lines, and
+the rest goes.  On all other pages the proposal holds, unless less than LEAST of the text would remain: the two are near copies then and the page
+keeps its text.
+
+Pages are dealt out in ranges of host and path, and the rows at the edges of a range are passed to the ranges beside it, so no host is
+gathered in one task and its size changes no result; only line hashes travel for the comparison.
 
 Defined cases: null or empty html gives an empty text; a null URL belongs to the empty host and path; a page without a neighbour keeps its
 lines; repeated rows are returned each; an empty table gives an empty result; other columns are ignored whatever their names.
@@ -41,9 +44,6 @@ DROPPED_NAMES = set(
     "footer gdpr header login masthead menu modal nav navbar navigation newsletter notice notices notification overlay pager pagination popup promo promotion "
     "recommended related replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription toolbar widget".split()
 )
-MARKED = re.compile(r"<(?:article|main)[\s>/]|role\s*=\s*[\"']?main\b|itemprop\s*=\s*[\"']?articleBody", re.I)
-MARKED_SQL = r"(?i)<(?:article|main)[\s>/]|role\s*=\s*[\"']?main\b|itemprop\s*=\s*[\"']?articleBody"
-
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)", re.S)
 _ATTR = re.compile(r"([^\s=\"'/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"']+)))?")
 _NAMES = re.compile(r"[a-z]+")
@@ -147,9 +147,10 @@ def blocks(page: str) -> list[Block]:
     return out
 
 
-def settled(found: list[Block]) -> list[str]:
-    """Main text of a page that marks its article (or meant to)."""
-    return [b.text for b in found if b.main and b.inside] or [b.text for b in found if b.main]
+def candidates(found: list[Block]) -> tuple[bool, list[int]]:
+    """Whether text stands in a marked article, and the places of the blocks that the markup leaves."""
+    inside = [k for k, b in enumerate(found) if b.main and b.inside]
+    return bool(inside), inside or [k for k, b in enumerate(found) if b.main]
 
 
 def common(a: list[int], b: list[int]) -> list[int]:
@@ -184,26 +185,14 @@ def _hash(text: str) -> int:
     return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
-def _join(texts: list[str]) -> str:
-    return "\n\n".join(texts)
-
-
-def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for lo in range(0, batch.num_rows, 256):
-            part = batch.slice(lo, 256)
-            text = [_join(settled(blocks(h.as_py() or ""))) for h in part.column(2)]
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(text, pa.string())], names=["page_id", "url", "text"])
-
-
 def _content(lines: list[int]) -> int:
     return xxhash.xxh64_intdigest(np.array(lines, np.int64).tobytes()) - (1 << 63)
 
 
 def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found = [[_hash(b.text) for b in blocks(h.as_py() or "")] for h in batch.column(3)]
-        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([_content(x) for x in found], pa.int64()), pa.array(found, pa.list_(pa.int64()))], names=["host", "path", "wanted", "content", "lines"])
+        found = [[_hash(b.text) for b in blocks(h.as_py() or "")] for h in batch.column(2)]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array([_content(x) for x in found], pa.int64()), pa.array(found, pa.list_(pa.int64()))], names=["host", "path", "content", "lines"])
 
 
 Row = tuple[str, str, int, bool, list[int]]  # host, path, content, wanted, lines
@@ -289,48 +278,48 @@ def _shared(carried):
     return run
 
 
-def _unmarked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Blocks of unmarked pages: what may be main text, with its place among all lines."""
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks that the markup leaves of each page, with their places among all lines."""
     for batch in batches:
-        texts, places, contents = [], [], []
-        for h in batch.column(4):
-            all_ = blocks(h.as_py() or "")
-            found = [(k, b.text) for k, b in enumerate(all_) if b.main]
-            contents.append(_content([_hash(b.text) for b in all_]))
-            places.append([k for k, _ in found])
-            texts.append([t for _, t in found])
-        yield pa.RecordBatch.from_arrays(
-            [*batch.columns[:4], pa.array(contents, pa.int64()), pa.array(texts, pa.list_(pa.string())), pa.array(places, pa.list_(pa.int32()))], names=["page_id", "url", "host", "path", "content", "texts", "places"]
-        )
+        for lo in range(0, batch.num_rows, 256):
+            part = batch.slice(lo, 256)
+            texts, places, contents, articles = [], [], [], []
+            for h in part.column(4):
+                found = blocks(h.as_py() or "")
+                article, at = candidates(found)
+                articles.append(article)
+                contents.append(_content([_hash(b.text) for b in found]))
+                places.append(at)
+                texts.append([found[k].text for k in at])
+            yield pa.RecordBatch.from_arrays(
+                [*part.columns[:4], pa.array(contents, pa.int64()), pa.array(articles, pa.bool_()), pa.array(texts, pa.list_(pa.string())), pa.array(places, pa.list_(pa.int32()))],
+                names=["page_id", "url", "host", "path", "content", "article", "texts", "places"],
+            )
 
 
 def main_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """page_id, url, text, n_chars of every row."""
-    base = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
-    marked = F.coalesce(F.col("html").rlike(MARKED_SQL), F.lit(True))
-    out = base.where(marked).mapInArrow(_marked, "page_id long, url string, text string")
-    if not base.where(~marked).isEmpty():
-        out = out.unionByName(_differenced(base, marked))
-    return out.select(F.col("page_id").alias(id_col), F.col("url").alias(url_col), "text", F.length("text").cast("long").alias("n_chars"))
-
-
-def _differenced(base: DataFrame, marked) -> DataFrame:
-    url = F.coalesce("url", F.lit(""))
+    """page_id, url, text, n_chars of every row, and n_shared, the number of its lines that differencing proposes to delete."""
+    url = F.coalesce(F.col(url_col), F.lit(""))
     shape = r"^(?:[A-Za-z][\w+.-]*:)?//([^/?#]*)([^?#]*)"
     host, path = F.lower(F.regexp_extract(url, shape, 1)).alias("host"), F.regexp_extract(url, shape, 2).alias("path")
-    rows = base.select(host, path, (~marked).alias("wanted"), "html")
-    lines = rows.mapInArrow(_lines, "host string, path string, wanted boolean, content long, lines array<long>").where(F.size("lines") > 0)
+    base = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), host, path, F.col(html_col).alias("html"))
+    held = base.mapInArrow(_texts, "page_id long, url string, host string, path string, content long, article boolean, texts array<string>, places array<int>")
+    whole = F.array_join("texts", "\n\n")
+    kept = F.array_join(F.filter("texts", lambda _, i: F.col("article") | ~F.array_contains("gone", F.get("places", i))), "\n\n")
+    text = F.when(F.col("gone").isNull() | (F.length(kept) < LEAST * F.length(whole)), whole).otherwise(kept)
+    out = held.join(_shared_lines(base), ["host", "path", "content"], "left").select("page_id", "url", text.alias("text"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_shared"))
+    return out.select(F.col("page_id").alias(id_col), F.col("url").alias(url_col), "text", F.length("text").cast("long").alias("n_chars"), "n_shared")
+
+
+def _shared_lines(base: DataFrame) -> DataFrame:
+    """host, path, content of every page that has lines, and the places of those that it shares with its nearest page."""
     place = ["host", "path", "content"]
-    single = lines.groupBy(*place).agg(F.bool_or("wanted").alias("wanted"), F.first("lines").alias("lines"))
+    lines = base.select("host", "path", "html").mapInArrow(_lines, "host string, path string, content long, lines array<long>").where(F.size("lines") > 0)
+    single = lines.groupBy(*place).agg(F.first("lines").alias("lines"))
     n = int(base.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # Range bounds are sampled anew in every run: they are written once.
-    ranged = materialise(single.repartitionByRange(n, *place).select(F.spark_partition_id().alias("part"), *place, "wanted", "lines"), "page-ranges")
+    ranged = materialise(single.repartitionByRange(n, *place).select(F.spark_partition_id().alias("part"), *place, F.lit(True).alias("wanted"), "lines"), "page-ranges")
     ordered = ranged.repartition(n, "part").sortWithinPartitions("part", *place)
     edges = ordered.mapInArrow(_edges, "part int, last boolean, place int, host string, path string, content long, wanted boolean, lines array<long>").collect()
     carried = base.sparkSession.sparkContext.broadcast(_carried(edges))
-    gone = ordered.mapInArrow(_shared(carried), "host string, path string, content long, gone array<int>")
-    held = base.where(~marked).select("page_id", "url", host, path, "html").mapInArrow(_unmarked, "page_id long, url string, host string, path string, content long, texts array<string>, places array<int>")
-    whole = F.array_join("texts", "\n\n")
-    kept = F.array_join(F.filter("texts", lambda _, i: ~F.array_contains("gone", F.get("places", i))), "\n\n")
-    text = F.when(F.col("gone").isNull() | (F.length(kept) < LEAST * F.length(whole)), whole).otherwise(kept)
-    return held.join(gone, place, "left").select("page_id", "url", text.alias("text"))
+    return ordered.mapInArrow(_shared(carried), "host string, path string, content long, gone array<int>")

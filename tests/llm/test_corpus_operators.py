@@ -336,6 +336,18 @@ def test_pages_beside_copies(spark):
     assert got[8] == "\n\n".join([*story, "End"]) and got[9] == "\n\n".join([*story, "Fin"])
 
 
+def test_marked_pages_are_differenced_too(spark):
+    page = "<body><div>Welcome</div>{}<div>Rights</div></body>"
+    # A mark that holds no text: differencing decides.
+    rows = [(k, f"http://script.x/{k}", page.format(f"<script>'<article>'</script><main></main><p>Story {k}</p>")) for k in range(4)]
+    # A marked article keeps what it repeats, and its page is compared all the same.
+    rows += [(k, f"http://marked.x/{k}", page.format(f"<nav>Menu</nav><article><p>Repeated passage</p><p>Story {k}</p></article>")) for k in range(10, 14)]
+    rows += [(20, "http://alone.x/", page.format("<article>One</article>")), (21, "http://none.x/", None)]
+    d = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: (r.text, r.n_shared) for r in page_text.main_text(d).collect()}
+    assert got == {k: (f"Story {k}", 2) for k in range(4)} | {k: (f"Repeated passage\n\nStory {k}", 4) for k in range(10, 14)} | {20: ("One", 0), 21: ("", 0)}
+
+
 def test_pages_of_a_large_host(spark):
     rows = [(k, f"http://big.x/en/{k:04d}", f"<p>Terms of section {k // 10}</p><p>Story {k} is told here</p>") for k in range(1200)]
     rows += [(k, f"http://copies.x/{k}", "<p>Same</p><p>text</p>") for k in range(5000, 5300)] + [(6000, "http://copies.x/60", "<p>Same</p><p>end of it</p>")]
