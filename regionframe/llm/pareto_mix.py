@@ -14,7 +14,8 @@ target if that comes nearer.
 
 No source is ever gathered in one task: ranks fall into 65536 bins whose sums give the bin in which the cut
 lies, and only the documents of that bin are sorted.  What a round takes is then a predicate on rank and cut, so
-documents are not joined with what was taken; the cuts, one row a source and round, are sent along if there are at most SOURCES_BROADCAST.
+documents are not joined with what was taken.  The cuts of all rounds are one table, one row a source, which is sent along once if it has at
+most SOURCES_BROADCAST rows: what the driver holds of a round does not grow with the rounds before.
 Rows that agree in id, source and text are counted in one row, of which a cut may take a part.
 
 Defined cases: null text has size 0 and takes 0; null source is a source, the last; an empty table gives an empty
@@ -63,23 +64,38 @@ def _same(x: str, y: str) -> Column:
     return F.col(x).eqNullSafe(F.col(y))
 
 
-def _ranked(docs: DataFrame, goals: DataFrame, hint) -> DataFrame:
-    """``docs`` with their source's goal, rank and bin, and ``left``: how many of the equal rows can still be taken."""
-    odds = F.col("u") / (1 - F.col("u")) * (1 - F.col("chance")) / F.col("chance")
-    met = docs.join(hint(goals), _same("source", "s_source"), "left").withColumn("rank", odds).withColumn("bin", F.floor(odds / (1 + odds) * BINS))
-    open_ = F.coalesce((F.col("gap") > 0) & (F.col("size") > 0) & (F.col("size") <= F.col("fits")), F.lit(False))
-    return met.withColumn("left", F.when(open_, F.col("m") - F.col("extra")).otherwise(0))
+def _at() -> Column:
+    return F.struct("rank", "id", "digest")
+
 
+def _open(gap: Column, last: bool) -> Column:
+    """Whether a round may take from the row; the last one may pass the target by less than it misses."""
+    return F.coalesce(F.col("chance").isNotNull() & (gap > 0) & (F.col("size") > 0) & (F.col("size") <= gap * (2 if last else 1)), F.lit(False))
 
-def _cuts(ranked: DataFrame, hint, last: bool) -> DataFrame:
-    """One row a source: what is left before the cut (cut_bin, cut) is taken, and ``part`` of the rows at the cut; without cut_bin all is."""
-    open_ = ranked.where("left > 0")
+
+def _state(base: DataFrame, plan: DataFrame, done: int, rounds: int, hint) -> DataFrame:
+    """``base`` with the plan of its source, rank, bin and ``extra``: how many of the equal rows the first ``done`` rounds take."""
+    odds = F.col("u") / (1 - F.col("u")) * (1 - F.col("chance")) / F.col("chance")
+    out = base.join(hint(plan), _same("source", "s_source")).withColumn("rank", odds).withColumn("bin", F.floor(odds / (1 + odds) * BINS))
+    extra = F.lit(0).cast("long")
+    for k in range(done):
+        here, cut = F.col("bin") == F.col(f"bin_{k}"), F.col(f"cut_{k}")
+        whole = F.col(f"bin_{k}").isNull() | (F.col("bin") < F.col(f"bin_{k}")) | (here & cut.isNotNull() & (_at() < cut))
+        edge = here & cut.isNotNull() & (_at() == cut)
+        taken = F.when(_open(F.col(f"gap_{k}"), k == rounds - 1) & edge, F.col(f"part_{k}")).otherwise(0)
+        extra = F.when(F.coalesce(_open(F.col(f"gap_{k}"), k == rounds - 1) & whole, F.lit(False)), F.col("m")).otherwise(extra + taken)
+    return out.withColumn("extra", extra)
+
+
+def _cuts(state: DataFrame, hint, last: bool) -> DataFrame:
+    """One row a source: what is left before the cut (cut_bin, cut) is taken, and ``part`` of the rows at the cut, ``took`` words in all; without cut_bin all is."""
+    open_ = state.withColumn("left", F.when(_open(F.col("gap"), last), F.col("m") - F.col("extra")).otherwise(0)).where("left > 0")
     bins = open_.groupBy("s_source", "bin", "gap").agg(F.sum(F.col("size") * F.col("left")).alias("words"))
     bins = bins.withColumn("upto", F.sum("words").over(Window.partitionBy("s_source").orderBy("bin")))
     cuts = bins.groupBy("s_source").agg(
-        F.min(F.when(F.col("upto") >= F.col("gap"), F.struct("bin", (F.col("upto") - F.col("words")).alias("before")))).alias("cut")
-    ).select(F.col("s_source").alias("c_source"), F.col("cut.bin").alias("cut_bin"), F.col("cut.before").alias("before"))
-    edge = open_.join(hint(cuts), _same("source", "c_source")).where("bin = cut_bin").withColumn("at", F.struct("rank", "id", "digest"))
+        F.min(F.when(F.col("upto") >= F.col("gap"), F.struct("bin", (F.col("upto") - F.col("words")).alias("before")))).alias("cut"), F.max("upto").alias("words")
+    ).select(F.col("s_source").alias("c_source"), F.col("cut.bin").alias("cut_bin"), F.coalesce("cut.before", "words").alias("before"))
+    edge = open_.join(hint(cuts), _same("source", "c_source")).where("bin = cut_bin").withColumn("at", _at())
     words = F.col("size") * F.col("left")
     edge = edge.withColumn("start", F.sum(words).over(Window.partitionBy("s_source").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)) - words + F.col("before"))
     part = F.least(F.col("left"), F.greatest(F.floor((F.col("gap") - F.col("start")) / F.col("size")), F.lit(0)).cast("long"))
@@ -88,17 +104,9 @@ def _cuts(ranked: DataFrame, hint, last: bool) -> DataFrame:
         upto = F.col("start") + F.col("part") * F.col("size")
         nearer = (F.col("part") < F.col("left")) & (upto < F.col("gap")) & (upto + F.col("size") - F.col("gap") < F.col("gap") - upto)
         edge = edge.withColumn("part", F.col("part") + nearer.cast("long"))
-    ends = edge.where("part > 0").groupBy("s_source").agg(F.max(F.struct("at", "part")).alias("end")).select(F.col("s_source").alias("e_source"), F.col("end.at").alias("cut"), F.col("end.part").alias("part"))
-    return cuts.join(ends, _same("c_source", "e_source"), "left").select("c_source", "cut_bin", "cut", "part")
-
-
-def _take(ranked: DataFrame, cuts: DataFrame, hint) -> DataFrame:
-    at = F.struct("rank", "id", "digest")
-    whole = F.col("cut_bin").isNull() | (F.col("bin") < F.col("cut_bin")) | ((F.col("bin") == F.col("cut_bin")) & F.col("cut").isNotNull() & (at < F.col("cut")))
-    edge = (F.col("bin") == F.col("cut_bin")) & F.col("cut").isNotNull() & (at == F.col("cut"))
-    now = F.when(F.col("left") == 0, 0).when(F.coalesce(whole, F.lit(False)), F.col("left")).when(F.coalesce(edge, F.lit(False)), F.col("part")).otherwise(0)
-    out = ranked.join(hint(cuts), _same("source", "c_source"), "left").withColumn("extra", F.col("extra") + now)
-    return out.select("id", "source", "size", "digest", "u", "m", "extra")
+    end = F.struct("at", "part", (F.col("start") + F.col("part") * F.col("size")).alias("took"))
+    ends = edge.where("part > 0").groupBy("s_source").agg(F.max(end).alias("end")).select(F.col("s_source").alias("e_source"), F.col("end.at").alias("cut"), F.col("end.part").alias("part"), F.col("end.took").alias("took"))
+    return cuts.join(ends, _same("c_source", "e_source"), "left").select("c_source", "cut_bin", "cut", "part", F.coalesce("took", "before").alias("took"))
 
 
 def _decided(
@@ -110,20 +118,21 @@ def _decided(
     base = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(text).alias("size"), F.coalesce(F.md5(text), F.lit("")).alias("digest"))
     base = base.groupBy("id", "source", "size", "digest").agg(F.count("*").alias("m"))
     base = scratch.write(base.withColumn("u", uniform(seed, F.col("id"), F.col("digest"))), "mix-sizes")
-    targets = scratch.write(source_targets(base.select("source", (F.col("size") * F.col("m")).alias("size")), weights, total, cap), "mix-targets")
-    small = fits_broadcast(targets, SOURCES_BROADCAST)
-    hint = F.broadcast if small else (lambda x: x)
+    targets = source_targets(base.select("source", (F.col("size") * F.col("m")).alias("size")), weights, total, cap)
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    targets = targets.withColumn("certain", F.floor(ratio).cast("long")).withColumn("chance", ratio - F.floor(ratio)).withColumnRenamed("source", "s_source")
-    state = base.withColumn("extra", F.lit(0).cast("long"))
+    chance = ratio - F.floor(ratio)
+    plan = targets.select(F.col("source").alias("s_source"), "source_size", "target", F.floor(ratio).cast("long").alias("certain"), F.when(chance > 0, chance).alias("chance"), F.lit(0).cast("long").alias("got"))
+    plan = scratch.write(plan, "mix-plan")
+    small = fits_broadcast(plan, SOURCES_BROADCAST)
+    hint = F.broadcast if small else (lambda x: x)
+    gap = F.col("target") - F.col("certain") * F.col("source_size") - F.col("got")
     for n in range(rounds):
-        got = state.where("extra > 0").groupBy("source").agg(F.sum(F.col("size") * F.col("extra")).alias("got")).withColumnRenamed("source", "g_source")
-        gap = F.col("target") - F.col("certain") * F.col("source_size") - F.coalesce(F.col("got"), F.lit(0))
-        goals = targets.join(got, _same("s_source", "g_source"), "left").select("s_source", "chance", gap.alias("gap"), (gap * (2 if n == rounds - 1 else 1)).alias("fits")).where("chance > 0")
-        goals = scratch.write(goals, f"mix-goals-{n}")
-        ranked = _ranked(state, goals, hint)
-        state = _take(ranked, scratch.write(_cuts(ranked, hint, n == rounds - 1), f"mix-cuts-{n}"), hint)
-    out = state.join(hint(targets), _same("source", "s_source")).select("id", "source", "size", "digest", "m", "extra", "certain", F.col("source_size").cast("long").alias("source_size"), "target")
+        plan = plan.withColumn("gap", gap)
+        cuts = _cuts(_state(base, plan, n, rounds, hint), hint, n == rounds - 1)
+        names = {"gap": f"gap_{n}", "cut_bin": f"bin_{n}", "cut": f"cut_{n}", "part": f"part_{n}"}
+        plan = plan.join(hint(cuts), _same("s_source", "c_source"), "left").withColumn("got", F.col("got") + F.coalesce("took", F.lit(0)))
+        plan = scratch.write(plan.drop("c_source", "took").withColumnsRenamed(names), "mix-plan")
+    out = _state(base, plan, rounds, rounds, hint).select("id", "source", "size", "digest", "m", "extra", "certain", F.col("source_size").cast("long").alias("source_size"), "target")
     out = scratch.write(out, "mix-decided")
     scratch.close("mix-decided")
     return out

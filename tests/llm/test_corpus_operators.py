@@ -550,3 +550,24 @@ def test_mix(spark, corpus):
         taken[r.source] += r.taken
     assert all(abs(taken[s] - goal[s]) <= 0.05 * goal[s] + 3 for s in names)
     assert pareto_mix.pareto_mix(documents(spark, [])).count() == 0
+
+
+def test_a_later_round_of_the_mix_joins_no_more_than_an_early_one(spark, corpus, monkeypatch):
+    d, joins, write = documents(spark, corpus, True), [], Scratch.write
+
+    def counted(self, df, name):
+        joins.append(df._jdf.queryExecution().optimizedPlan().toString().count("Join "))
+        return write(self, df, name)
+
+    monkeypatch.setattr(Scratch, "write", counted)
+
+    def mix(rounds):
+        """The most joins in one query of the mix, each of which the driver may have to send, and its rows."""
+        joins.clear()
+        rows = sorted(map(tuple, pareto_mix.pareto_mix(d, rounds=rounds).collect()), key=str)
+        return max(joins), rows
+
+    few, many = mix(2), mix(6)
+    assert 0 < many[0] == few[0]
+    monkeypatch.setattr(pareto_mix, "SOURCES_BROADCAST", 0)
+    assert mix(6)[1] == many[1]
